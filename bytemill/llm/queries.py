@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bytemill.llm import exact_dedup, mixing, quality_rules
+from bytemill.llm import exact_dedup, langid, mixing, packing, quality_rules
 from bytemill.plans.scratch import put_on_path, stage
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     put_on_path(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: a few MB a batch
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer())
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = stage(mixing.sized(documents(spark, sf_dir)).select("doc_id", "source", "size"), "sized")
     return mixing.with_copies(slim).select("doc_id", "size", "source_size", "target", "taken")
@@ -26,5 +38,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality_rules, op6_exact_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs.filter(~out))).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_quality_rules, op6_exact_dedup, op10_language_id)}
 SQL = {"op2_mixing": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
