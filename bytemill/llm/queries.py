@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import exact_dedup, langid, mixing, packing, quality_rules, simhash
+from bytemill.llm import exact_dedup, langid, mixing, packing, ppm, quality_rules, simhash
 from bytemill.plans.scratch import put_on_path, stage
 
 
@@ -42,11 +42,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.held_out(F.col("doc_id"), 3, 1)
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.fit(docs.filter(~out))).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_quality_rules, op6_exact_dedup, op7_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_quality_rules, op6_exact_dedup, op7_simhash, op8_ppm, op10_language_id)}
 SQL = {"op2_mixing": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
