@@ -33,14 +33,14 @@ _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 
-def counts(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def counts(flat: np.ndarray, starts: np.ndarray, fold: np.ndarray = _FOLD) -> np.ndarray:
     """Trigram counts per text; text k is flat[starts[k]:starts[k + 1]]."""
     n = len(starts) - 1
     out = np.zeros((n, DIMS), np.float32)
     for lo in range(0, len(flat), BLOCK):
         hi = min(len(flat), lo + BLOCK)
         b = np.full(hi - lo + 2, 32, np.uint32)  # with the bytes before and behind
-        b[1 - (lo > 0) : hi - lo + 1 + (hi < len(flat))] = _FOLD[flat[max(0, lo - 1) : hi + 1]]
+        b[1 - (lo > 0) : hi - lo + 1 + (hi < len(flat))] = fold[flat[max(0, lo - 1) : hi + 1]]
         mid = b[1:-1]
         at = np.flatnonzero(mid != 32)
         doc = np.searchsorted(starts, at + lo, side="right") - 1

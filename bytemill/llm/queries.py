@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import exact_dedup, langid, mixing, packing, ppm, quality_rules, simhash
+from bytemill.llm import exact_dedup, langid, mixing, packing, pii, ppm, quality_rules, simhash, weak_quality
 from bytemill.plans.scratch import put_on_path, stage
 
 
@@ -30,10 +30,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.score(documents(spark, sf_dir)).select("doc_id", "posterior", "score", "kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).select("doc_id", *quality_rules.ADDED)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -52,5 +60,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs.filter(~out))).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_quality_rules, op6_exact_dedup, op7_simhash, op8_ppm, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_weak_quality, op4_quality_rules, op5_pii, op6_exact_dedup, op7_simhash, op8_ppm, op10_language_id)}
 SQL = {"op2_mixing": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
