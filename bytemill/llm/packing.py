@@ -29,7 +29,7 @@ from bytemill.plans.scratch import stage
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps; all are forgotten when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 1_500_000
 BUCKET_ROWS = 100_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,13 +57,27 @@ class Encoder:
         if b"<|" in text:
             return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         words = text.split()
-        if new := list(set(words).difference(self.known)):
+        ids = list(map(self.known.get, words))
+        if None in ids:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+                self.learn(set(words))
+            else:
+                self.learn({w for w, x in zip(words, ids, strict=True) if x is None})
+            ids = map(self.known.__getitem__, words)
+        return b"".join(ids)
+
+    def learn(self, new: set[bytes]) -> None:
+        parts = {}
+        for w in new:
+            low = w.lower()
+            ends = low[-1:] in (b".", b",") and low[:-1].decode().isalpha()
+            parts[w] = (low[:-1], low[-1:]) if ends else (low, b"")
+        todo = [w for w in {x for p in parts.values() for x in p} if w not in self.known]
+        for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+        for w, (core, tail) in parts.items():
+            self.known[w] = self.known[core] + self.known[tail]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
