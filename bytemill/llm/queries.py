@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import exact_dedup, langid, mixing, packing, pii, ppm, quality_rules, simhash, weak_quality
+from bytemill.llm import exact_dedup, langid, line_dedup, mixing, packing, pii, ppm, quality_rules, simhash, weak_quality
 from bytemill.plans.scratch import put_on_path, stage
 
 
@@ -54,11 +54,15 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.lm_scores(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.held_out(F.col("doc_id"), 3, 1)
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.fit(docs.filter(~out))).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_weak_quality, op4_quality_rules, op5_pii, op6_exact_dedup, op7_simhash, op8_ppm, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_weak_quality, op4_quality_rules, op5_pii, op6_exact_dedup, op7_simhash, op8_ppm, op9_line_dedup, op10_language_id)}
 SQL = {"op2_mixing": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
