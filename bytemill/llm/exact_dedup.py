@@ -61,13 +61,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns they came with. Copies of frequent texts go before the shuffle."""
-    keyed = _keyed(docs)
+    """The rows that stay, as they came. Copies of frequent texts go before the shuffle."""
+    keyed = _keyed(docs.select("doc_id", "text", F.struct("*").alias("_row")))
     heavy = F.broadcast(winners(stage(keyed.select("doc_id", "_chars", "text_sha256"), "digests")))
     loses = F.col("_best").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_chars") == -F.col("_best.c")))
-    rest = keyed.join(heavy, "text_sha256", "left").filter(~loses)
+    rest = keyed.drop("text").join(heavy, "text_sha256", "left").filter(~loses)
     rank = F.row_number().over(Window.partitionBy("text_sha256").orderBy(F.desc("_chars"), F.asc_nulls_last("doc_id")))
-    return rest.withColumn("_rank", rank).filter("_rank = 1").select(docs.columns)
+    return rest.withColumn("_rank", rank).filter("_rank = 1").select("_row.*")
 
 
 ORACLE = r"""

@@ -79,9 +79,10 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """Every document as often as the mix takes it, with the columns it came with."""
-    out = with_copies(sized(docs), **kw).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    """Every document as often as the mix takes it, as it came."""
+    packed = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
+    out = with_copies(sized(packed).drop("text"), **kw).filter("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 ORACLE = r"""

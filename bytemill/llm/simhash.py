@@ -165,7 +165,7 @@ def _masks() -> list[int]:
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest of the links that join the same fingerprints: each one's label falls to the least it can reach."""
+    """As few pairs that join the same fingerprints: every one with the least that its links reach."""
     nodes, flat = np.unique(np.concatenate([x, y]), return_inverse=True)
     if len(x) < len(nodes):
         return x, y
@@ -226,7 +226,7 @@ def _compare(batches):
 
 
 def linked(distinct: DataFrame) -> DataFrame:
-    """Links (u, v), u < v, between the distinct values of the column fp: enough to join all that link."""
+    """Pairs (u, v), u < v, of distinct values of the column fp that join exactly those that links join."""
 
     def home_rows(batches):
         for batch in batches:

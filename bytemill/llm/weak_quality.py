@@ -68,7 +68,7 @@ def votes(m: tuple[float, ...]) -> tuple[int, ...]:
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tuple[int, ...], float]:
-    """Posterior of good quality by vote pattern; a heuristic has one accuracy for its good and one for its bad votes."""
+    """Posterior of good quality by vote pattern; a heuristic has its own rate of either vote in either class."""
     keys = sorted(patterns)
     v, n = np.array(keys).reshape(len(keys), -1), np.array([patterns[k] for k in keys], float)
     good = np.array([0.05 if sum(x == 0 for x in k) > sum(x == 1 for x in k) else 0.95 for k in keys])
@@ -76,10 +76,10 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tu
         prior = min(0.95, max(0.05, (n @ good + 1) / (n.sum() + 2)))
         odds = np.full(len(keys), np.log(prior / (1 - prior)))
         for j in range(v.shape[1]):
-            for vote, share in ((0, 1 - good), (1, good)):
-                cast = n * (v[:, j] == vote)
-                right = min(0.99, max(0.5, (cast @ share + 2) / (cast.sum() + 3)))  # never worse than a coin
-                odds += (2 * vote - 1) * np.log(right / (1 - right)) * (v[:, j] == vote)
+            for vote, same, other in ((0, 1 - good, good), (1, good, 1 - good)):
+                cast = v[:, j] == vote
+                rate = [(n * cast @ share + 0.5) / (n @ share + 1) for share in (same, other)]
+                odds += (2 * vote - 1) * max(0.0, np.log(rate[0] / rate[1])) * cast  # never worse than a coin
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - good).max() < 1e-9:
             break
