@@ -75,3 +75,8 @@ def bits_needed(distinct: Column, length: Column) -> Column:
 
 def density(original_bits: Column, cells: Column, bits: Column) -> Column:
     return F.when(cells * bits == 0, 0.0).otherwise(original_bits / (cells * bits))
+
+
+def chunker_mask(target: Column) -> Column:
+    """As many low bits as the target size has doublings."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(target)).cast("int")) - 1

@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bytemill.functions import codecs
 from bytemill.functions import columns as C
+from bytemill.functions.hashing import rolling_table
 from bytemill.operators import analysis as A
 from bytemill.operators import coding as K
 from bytemill.operators import segments as R
@@ -334,6 +336,17 @@ def a18_cell_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- segments ---
 
 
+@query("WITH RECURSIVE t(k, x) AS (SELECT 0, (305419896::BIGINT * 1664525 + 1013904223) % 4294967296 UNION ALL SELECT k + 1, (x * 1664525 + 1013904223) % 4294967296 FROM t WHERE k < 255) SELECT k AS byte, x AS value FROM t")
+def r1_rolling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rolling_table().tolist())), "byte int, value long")
+
+
+@query("SELECT s_suppkey + 1 AS target, (1 << floor(log2(s_suppkey + 1))::BIGINT) - 1 AS mask FROM supplier")
+def r2_chunker_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = F.col("s_suppkey") + 1
+    return table(spark, sf_dir, "supplier").select(target.alias("target"), C.chunker_mask(target).alias("mask"))
+
+
 @query("SELECT doc_id AS blob_id, octet_length(encode(text))::BIGINT AS total, true AS contiguous, true AS bounded FROM documents WHERE octet_length(encode(text)) > 0")
 def r3_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = R.chunk(blobs(spark, sf_dir)).drop("data")
@@ -473,9 +486,74 @@ def c24_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back(some, K.decode_chunks(K.encode_chunks(F.col("content"), F.col("stages")), F.col("stages")))
 
 
+def _sizes(spark: SparkSession, sf_dir: str, coded: Column) -> DataFrame:
+    n = F.octet_length("content").cast("long")
+    return blobs(spark, sf_dir).select("blob_id", n.alias("original_size"), F.octet_length(coded).cast("long").alias("coded_size"))
+
+
+@query(RESTORED)
+def c2_bitunpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return back(blobs(spark, sf_dir), K.bitunpack(K.bitpack(F.col("content"))))
+
+
+@query()
+def c5_corpus_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codebook of all blobs with patterns up to eight bytes, and its escape byte."""
+    genome = K.corpus_genome(blobs(spark, sf_dir))
+    return spark.createDataFrame([(c, p.hex(), genome.escape) for c, p in genome.patterns.items()], "code int, pattern string, escape int")
+
+
+@query("SELECT 'codebook' AS part, true AS same")
+def c6_genome_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genome = K.corpus_genome(blobs(spark, sf_dir))
+    return spark.createDataFrame([("codebook", codecs.Genome.deserialize(genome.serialize()) == genome)], "part string, same boolean")
+
+
+@query()
+def c7_pattern_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, K.pattern_encode(F.col("content"), K.corpus_genome(blobs(spark, sf_dir))))
+
+
+@query("SELECT doc_id AS blob_id, octet_length(encode(text))::BIGINT AS original_size, (2 * ceil(octet_length(encode(text)) / 255.0))::BIGINT AS coded_size FROM documents")
+def c9_runs_of_equal_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of a blob to itself: two bytes for each 255."""
+    return _sizes(spark, sf_dir, K.difference_runs(F.col("content"), F.col("content")))
+
+
+@query()
+def c11_delta_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _as_chunks(spark, sf_dir).select("blob_id", F.col("chunk_idx").alias("uid"), "data")
+    return K.delta_encode(chunks).select("blob_id", "uid", "kind", "ref_uid", F.octet_length("data").alias("coded_size"))
+
+
+@query()
+def c14_lz_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, K.lz_compress(F.col("content")))
+
+
+@query()
+def c16_rans_order0_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, K.rans0_encode(F.col("content")))
+
+
+@query()
+def c18_rans_order1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, K.rans1_encode(F.when(F.octet_length("content") > 0, F.col("content"))))
+
+
+@query()
+def c23_chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir, K.encode_chunks(F.coalesce("content", F.lit(b"")), F.lit(C.STAGES[C.TEXT])))
+
+
 # --- the whole pipeline ---
 
 
+@query(MEASURES + f" SELECT blob_id, round(entropy, 6) AS entropy, class, {_STAGES} AS stages FROM k")
+def p3_engine_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.with_analysis(blobs(spark, sf_dir)).select("blob_id", F.round("entropy", 6).alias("entropy"), "class", "stages")
+
+
 @query(MEASURES + f" SELECT blob_id, {_STAGES} AS stages, length::BIGINT AS original_size, class FROM k")
 def p1_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.compress(blobs(spark, sf_dir)).select("blob_id", "stages", "original_size", "class")
@@ -507,6 +585,15 @@ def p5_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.decompress(made.select("blob_id", broken.alias("archive")), permissive=True).select("blob_id", "error_code")
 
 
+@query("SELECT doc_id AS blob_id, 40 + 4 AS least_size, true AS sound FROM documents")
+def s3_archive_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether header, codebook, references, map, chunks and checksum add up to each archive's size."""
+    made = engine.compress(blobs(spark, sf_dir)).withColumn("h", engine.header(F.col("archive")))
+    book = F.when(F.col("h.flags").bitwiseAND(1) == 1, F.col("h.genome_size")).otherwise(0)
+    size = 40 + book + 4 * F.col("h.chunk_count") + 32 * F.col("h.unique_count") + F.col("h.payload_size") + 4
+    return made.select("blob_id", F.lit(44).alias("least_size"), (size == F.col("compressed_size")).alias("sound"))
+
+
 # --- the registry ---
 
 _MODELS = "c_mktsegment AS name, c_name AS path, 'kind' AS model_type, c_custkey * 3 AS original_size, c_custkey AS compressed_size, c_custkey * 100 AS ts, 1::BIGINT AS version, c_custkey AS seq"
@@ -519,6 +606,13 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ADDED = f"WITH m AS (SELECT {_MODELS} FROM customer), u AS (SELECT * EXCLUDE (seq, r, f), f AS seq FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS r, min(seq) OVER (PARTITION BY name) AS f FROM m) WHERE r = 1)"
 
 
+@query(f"SELECT {_MODELS} FROM customer WHERE false")
+def g1_registry_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry that was never saved is empty."""
+    put_on_path(spark)
+    return registry.load(spark, f"{shared_dir(spark)}/bytemill/no-registry-{uuid.uuid4().hex}")
+
+
 @query(_ADDED + " SELECT * FROM u")
 def g2_registry_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.add(spark.createDataFrame([], registry.SCHEMA), _models(spark, sf_dir))
