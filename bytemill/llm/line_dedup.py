@@ -3,7 +3,8 @@
 Distinct lines of at least ``SHORTEST`` characters are cut into one segment more than the ``EDITS``
 allowed, so two lines within that distance share a segment. Every line indexes its own segments and
 probes, for every length it can match, the substrings that can align with a segment there (shift
-bounded by the edits left on either side). What meets is verified by edit distance over the band of
+bounded by the edits left on either side). Pairs whose letter counts are too far apart are left out;
+the rest are verified by edit distance over the band of
 2 * EDITS + 1 diagonals, all of which one step updates in parallel as bits of a word. An index key that
 ``CROWD`` lines share is found by a frequent-items sketch and refined: its lines join on segments of
 what remains of them. Links become classes through connected components; the first document of a class
@@ -25,9 +26,11 @@ from bytemill.plans.scratch import stage
 
 EDITS = 2
 SHORTEST = 16
-CROWD, CROWDS = 500, 512
+CROWD, CROWDS = 32, 4096
 #: Lines whose class is broadcast because they are the most frequent, and most ids that are ever broadcast.
 HEAVY = 512
+#: The letters whose counts a sketch holds.
+LETTERS = "etaonihsrdlucmpg"
 FEW = 200_000
 
 
@@ -38,72 +41,96 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return cut.withColumn("id", F.xxhash64("line"))
 
 
-def _segments(n: Column) -> list[tuple[Column, Column]]:
-    """(start, length) of each segment of a text of n characters; the later ones are the longer."""
-    m = EDITS + 1
-    size, more = F.floor(n / m).cast("int"), (n % m).cast("int")
-    out = []
-    for i in range(m):
-        longer = F.greatest(F.lit(0), more - (m - i))
-        out.append((size * i + longer, size + (more >= m - i).cast("int")))
+def sketch(line: Column) -> Column:
+    """Two bits for each of LETTERS: its count modulo four, coded so that neighbours differ in one bit.
+
+    An edit moves at most two counts by one, so lines within EDITS differ in at most 2 * EDITS bits.
+    """
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        count = (F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(3))
+        code = F.call_function("shiftright", F.lit(0b10110100), count * 2).bitwiseAND(F.lit(3)).cast("long")
+        out = out.bitwiseOR(F.shiftleft(code, 2 * k))
     return out
 
 
-def _key(prefix: Column, n: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(prefix, n, F.lit(i), part)
+def _cut_rows(rows: DataFrame, table: list[tuple[int, int, int]]) -> DataFrame:
+    """From (id, prefix, r): one row per (less, segment, shift) of the table and text r.
+
+    Each takes the segment of a text that is ``less`` shorter, moved by ``shift``, under the key of that
+    length, segment and substring. The table is data, so that the generated code stays small.
+    """
+    m = EDITS + 1
+    choices = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in table])
+    out = rows.withColumn("c", F.explode(choices)).withColumn("n", F.char_length("r") - F.col("c.less"))
+    size, late = F.floor(F.col("n") / m).cast("int"), F.col("n") % m + F.col("c.i") - m  # later segments are longer by one
+    out = out.withColumns({"a": size * F.col("c.i") + F.greatest(F.lit(0), late) + F.col("c.shift"), "q": size + (late >= 0).cast("int")})
+    out = out.filter((F.col("n") >= 0) & (F.col("a") >= 0) & (F.col("a") + F.col("q") <= F.char_length("r")))
+    key = F.xxhash64("prefix", "n", "c.i", F.substr("r", F.col("a") + 1, F.col("q")))
+    return out.select(key.alias("key"), "id", "r", "a", "q", (F.col("c.less") == 0).alias("same"))
 
 
 def index_rows(rows: DataFrame) -> DataFrame:
-    """From (id, prefix, r): one row per segment: key, id, and where the segment lies."""
-    n = F.char_length("r")
-    found = [F.struct(_key(F.col("prefix"), n, i, F.substr("r", a + 1, q)).alias("key"), a.alias("a"), q.alias("q")) for i, (a, q) in enumerate(_segments(n))]
-    return rows.select("id", "r", F.explode(F.array(*found)).alias("s")).select("s.key", "id", "r", "s.a", "s.q")
+    """The segments of every text."""
+    return _cut_rows(rows, [(0, i, 0) for i in range(EDITS + 1)])
 
 
 def probe_rows(rows: DataFrame) -> DataFrame:
-    """From (id, prefix, r): one row per substring that can align with a segment of a text up to EDITS shorter."""
-    found = []
-    whole_n = F.char_length("r")
-    for less in range(EDITS + 1):
-        n = whole_n - less
-        for i, (a, q) in enumerate(_segments(n)):
-            for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
-                at = a + shift
-                row = F.struct(_key(F.col("prefix"), n, i, F.substr("r", at + 1, q)).alias("key"), at.alias("a"), q.alias("q"), F.lit(less == 0).alias("same"))
-                found.append(F.when((n >= 0) & (at >= 0) & (at + q <= whole_n), row))
-    out = rows.select("id", "r", F.explode(F.array(*found)).alias("s")).filter("s is not null")
-    return out.select("s.key", "id", "r", "s.a", "s.q", "s.same")
-
-
-def candidates(lines: DataFrame, levels: int = 2) -> DataFrame:
-    """(u, v): ids of different lines that share an aligned segment; crowded keys are refined."""
+    """The substrings that can align with a segment of a text up to EDITS shorter."""
+    shifts = [(less, i, d) for less in range(EDITS + 1) for i in range(EDITS + 1) for d in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1)]
+    return _cut_rows(rows, shifts)
+
+
+def candidates(lines: DataFrame) -> DataFrame:
+    """(u, v): ids of different lines that share an aligned segment.
+
+    Under a crowded key, lines meet by the segments of what remains of them, and only if their letter
+    counts allow it: many variants of one line share most of its text without being near each other.
+    """
     rows = lines.select("id", F.lit(0).cast("long").alias("prefix"), F.col("line").alias("r"))
     indexed, probes = index_rows(rows), probe_rows(rows)
-    met = []
-    for level in range(levels):
-        top = indexed.agg(F.expr(f"approx_top_k(key, {CROWDS}, 4096)").alias("t")).select(F.explode("t").alias("t")).filter(F.col("t.count") >= CROWD)
-        crowds = stage(top.select(F.col("t.item").alias("key")), "crowds")
-        if level == levels - 1 or crowds.isEmpty():
-            met.append(_meet(indexed, probes))
-            break
-        crowds = F.broadcast(crowds)
-        met.append(_meet(indexed.join(crowds, "key", "left_anti"), probes.join(crowds, "key", "left_anti")))
-        rest = F.concat(F.substr("r", F.lit(1), F.col("a")), F.substr("r", F.col("a") + F.col("q") + 1, F.char_length("r")))
-        indexed = index_rows(indexed.join(crowds, "key").select("id", F.col("key").alias("prefix"), rest.alias("r")))
-        probes = probe_rows(probes.join(crowds, "key").select("id", F.col("key").alias("prefix"), rest.alias("r")))
-    out = met[0]
-    for more in met[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def _meet(indexed: DataFrame, probes: DataFrame) -> DataFrame:
-    left, right = indexed.select("key", F.col("id").alias("u")), probes.select("key", F.col("id").alias("v"), "same")
-    return left.join(right, "key").filter((F.col("u") != F.col("v")) & (~F.col("same") | (F.col("u") < F.col("v")))).select("u", "v")
+    top = indexed.agg(F.expr(f"approx_top_k(key, {CROWDS}, {8 * CROWDS})").alias("t")).select(F.explode("t").alias("t")).filter(F.col("t.count") >= CROWD)
+    crowds = stage(top.select(F.col("t.item").alias("key")), "crowds")
+    if crowds.isEmpty():
+        return _meet(indexed, probes).distinct()
+    crowds = F.broadcast(crowds)
+    rest = F.concat(F.substr("r", F.lit(1), F.col("a")), F.substr("r", F.col("a") + F.col("q") + 1, F.char_length("r")))
+    kept = ["id", F.col("key").alias("prefix"), rest.alias("r")]
+    counted = stage(lines.select("id", "line").join(indexed.join(crowds, "key").select("id").unionByName(probes.join(crowds, "key").select("id")).distinct(), "id", "left_semi"), "crowd")
+    counted = counted.select("id", sketch(F.col("line")).alias("sketch"))
+    again = index_rows(indexed.join(crowds, "key").select(kept)).join(counted, "id")
+    asked = probe_rows(probes.join(crowds, "key").select(kept)).join(counted, "id")
+    far = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * EDITS
+    plain = _meet(indexed.join(crowds, "key", "left_anti"), probes.join(crowds, "key", "left_anti"))
+    return plain.unionByName(_meet(again, asked, far)).distinct()
+
+
+def _meet(indexed: DataFrame, probes: DataFrame, near: Column | None = None) -> DataFrame:
+    """Pairs under one key; near: a condition on their sketches x and y."""
+    more = [] if near is None else ["sketch"]
+    left = indexed.select("key", F.col("id").alias("u"), *[F.col(c).alias("x") for c in more])
+    right = probes.select("key", F.col("id").alias("v"), "same", *[F.col(c).alias("y") for c in more])
+    met = (left["key"] == right["key"]) & (F.col("u") != F.col("v")) & (~F.col("same") | (F.col("u") < F.col("v")))
+    return left.join(right, met if near is None else met & near).select("u", "v")
+
+
+def _past_common(x: Column) -> Column:
+    """Struct (s, t) without the characters that both begin with, found by doubling steps downwards."""
+    s, t = x["s"], x["t"]
+    least = F.least(F.char_length(s), F.char_length(t))
+
+    def step(p: Column, n: Column) -> Column:
+        return F.when((p + n <= least) & (F.substr(s, p + 1, n) == F.substr(t, p + 1, n)), p + n).otherwise(p)
+
+    steps = F.transform(F.sequence(F.floor(F.log2(least + 1)).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return let(F.aggregate(steps, F.lit(0), step), lambda p: F.struct(F.substr(s, p + 1, F.char_length(s)).alias("s"), F.substr(t, p + 1, F.char_length(t)).alias("t")))
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether the edit distance is at most ``edits``: the band's diagonals are the bits of one word per edit."""
+    """Whether the edit distance is at most ``edits``: the band's diagonals are the bits of one word per edit.
+
+    What both begin or end with costs no edit and is left out first.
+    """
     full = (1 << (2 * edits + 1)) - 1
 
     def search(x: Column) -> Column:
@@ -128,10 +155,18 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         start = F.struct(*[F.lit(sum(1 << (edits + j) for j in range(d + 1))).alias(f"r{d}") for d in range(edits + 1)])
         end = F.size(t) - F.size(s) + edits
         inside = (end >= 0) & (end <= 2 * edits)
-        finish = lambda r: F.when(inside, F.call_function("getbit", r[f"r{edits}"], F.when(inside, end).otherwise(0))).otherwise(0) == 1
-        return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), start, step, finish)
+        finish = lambda r: F.call_function("getbit", r[f"r{edits}"], F.when(inside, end).otherwise(0)) == 1
+        return F.when(inside, F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), start, step, finish)).otherwise(False)
+
+    def middles(x: Column) -> Column:
+        n, m = F.char_length(x["s"]), F.char_length(x["t"])
+        letters = F.struct(F.split(x["s"], "").alias("s"), F.split(x["t"], "").alias("t"))
+        return F.when((n == 0) | (m == 0), n + m <= edits).otherwise(let(letters, search))
+
+    def turned(x: Column) -> Column:
+        return let(_past_common(x), lambda y: F.struct(F.reverse(y["s"]).alias("s"), F.reverse(y["t"]).alias("t")))
 
-    return let(F.struct(F.split(a, "").alias("s"), F.split(b, "").alias("t")), search)
+    return let(F.struct(a.alias("s"), b.alias("t")), lambda x: let(turned(x), lambda y: let(_past_common(y), middles)))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -142,8 +177,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     asked = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "asked")
     if asked.count() <= FEW:
         asked = F.broadcast(asked)
-    texts = stage(distinct.select("id", "line").join(asked, "id", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
+    texts = stage(distinct.select("id", "line").join(asked, "id", "left_semi").withColumn("sketch", sketch(F.col("line"))), "texts")
+    first = texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("sketch").alias("x"))
+    second = texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("sketch").alias("y"))
+    both = pairs.join(first, "u").join(second, "v").filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * EDITS)
     linked = components(both.filter(within(F.col("a"), F.col("b"))).select("u", "v"))
     member = linked.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(linked.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
     many = distinct.select("id", "first", "n").join(stage(member, "members"), "id", "left").filter("n > 1 or root is not null")
