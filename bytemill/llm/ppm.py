@@ -1,14 +1,16 @@
 """Language-model scoring by prediction by partial matching.
 
 A trie of byte contexts up to ``ORDER`` bytes is counted over all training texts (ASCII lower-cased,
-begun by three marks and closed by one). A symbol that a context has seen gets count / (total +
+begun by ORDER marks and closed by one). A symbol that a context has seen gets count / (total +
 distinct); otherwise the escape distinct / (total + distinct) leads to the next shorter context, in
-which all symbols of the longer ones are excluded, and at last to the bytes never seen at all. Every
-context's row of log10 probabilities is worked out once, so a text costs two look-ups a byte.
-
-The rows are broadcast while contexts times symbols stay within ``CELLS``. Beyond that, contexts are
-dealt into buckets, each task works out the rows of its own, and documents send the counts of their
-four-byte windows there; results are equal. The word model beside it keeps its ``TOP`` most frequent
+which all symbols of the longer ones are excluded, and at last to the bytes never seen at all. Contexts of
+up to ``DENSE`` bytes have a row of log10 probabilities for every symbol; longer ones hold the symbols that
+they have seen and two factors for all others, one for those that the next shorter context has seen and
+one for the rest, so most bytes of a text cost one look-up.
+
+The counts are broadcast and the trie is built once a worker while its size stays within ``CELLS``. Beyond
+that, windows are dealt into buckets by their nearest bytes, each task builds the trie of its own bucket,
+and documents send the counts of their windows there; results are equal. The word model beside it keeps its ``TOP`` most frequent
 words in a broadcast table and joins all rarer ones with the counted vocabulary.
 
 Defined cases: a null text is empty and scores its end alone; with no training rows every byte is
@@ -23,15 +25,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytemill.llm.langid import _batches, held_out
 from bytemill.plans.scratch import stage
 
-ORDER = 3
+ORDER = 5
+DENSE = 3
 MARK = 0xFF  # no UTF-8 text holds it
-CELLS = 1 << 25
+CELLS = 3 << 23
 TOP = 1 << 17
 BLOCK = 1 << 20
 #: Distinct entries that a task gathers before it hands them on.
@@ -53,8 +56,10 @@ def marked(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def windows(line: np.ndarray, begin: np.ndarray):
     """(document, window) in blocks; a window is ORDER bytes of context and the symbol, as a number."""
     for lo in range(0, len(line) - ORDER, BLOCK):
-        b = line[lo : lo + BLOCK + ORDER].astype(np.uint32)
-        key = b[: len(b) - ORDER] << 24 | b[1 : len(b) - 2] << 16 | b[2 : len(b) - 1] << 8 | b[3:]
+        b = line[lo : lo + BLOCK + ORDER].astype(np.uint64)
+        key = np.zeros(len(b) - ORDER, np.uint64)
+        for k in range(ORDER + 1):
+            key = key << np.uint64(8) | b[k : k + len(key)]
         at = np.arange(lo, lo + len(key))
         doc = np.searchsorted(begin, at, side="right") - 1
         good = at + ORDER < begin[doc + 1]
@@ -69,10 +74,9 @@ def gather(docs: DataFrame) -> DataFrame:
 
         def flush():
             keys, n = _merged(grams)
-            raw = np.empty((len(keys), 5), np.uint8)
+            raw = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - ORDER - 1 :].copy()  # a byte more in front
             raw[:, 0] = MARK
-            raw[:, 1:] = keys.astype(">u4").view(np.uint8).reshape(-1, 4)
-            offsets = np.arange(0, 5 * len(keys) + 1, 5, dtype=np.int32)
+            offsets = np.arange(0, (ORDER + 2) * len(keys) + 1, ORDER + 2, dtype=np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([packed, pa.array(n), pa.array(n)], ["key", "n_train", "n_all"])
             some = list(trained.keys() | other.keys())
@@ -101,22 +105,67 @@ def gather(docs: DataFrame) -> DataFrame:
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
-def rows_of(keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, order: int, symbols: np.ndarray) -> np.ndarray:
-    """Counts (context, symbol) of the last ``order`` context bytes, from windows (keys, n)."""
-    code = np.zeros(256, np.int64)
-    code[symbols] = np.arange(len(symbols))
-    if not len(contexts):
-        return np.zeros((0, len(symbols)))
-    tail = (keys >> np.uint32(8)).astype(np.int64) & ((1 << 8 * order) - 1)
-    at = np.minimum(np.searchsorted(contexts, tail), len(contexts) - 1)
-    good = contexts[at] == tail
-    flat = np.bincount(at[good] * len(symbols) + code[keys[good] & np.uint32(255)], n[good], len(contexts) * len(symbols))
-    return flat.reshape(len(contexts), len(symbols))
+def tails(keys: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes of context and the symbol."""
+    return keys & np.uint64((1 << 8 * (k + 1)) - 1)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64)
+
+
+def rows_of(keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, code: np.ndarray, a: int) -> np.ndarray:
+    """Counts (context, symbol) from windows (context, symbol) whose contexts are all given, in order."""
+    at = np.searchsorted(contexts, keys >> np.uint64(8))
+    flat = np.bincount(at * a + code[(keys & np.uint64(255)).astype(np.int64)], n, len(contexts) * a)
+    return flat.reshape(len(contexts), a)
+
+
+class Hashed:
+    """Numbers by 64-bit key: open addressing, all keys of an array looked up side by side."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.zeros(1 << self.bits, np.uint64)  # key + 1, or 0
+        self.values = [np.zeros(1 << self.bits, np.float32) for _ in values]
+        todo, at = np.arange(len(keys)), self._at(keys)
+        while len(todo):
+            free = self.slots[at] == 0
+            first = np.unique(at[free], return_index=True)[1]
+            put = np.flatnonzero(free)[first]
+            self.slots[at[put]] = keys[todo[put]] + np.uint64(1)
+            for mine, v in zip(self.values, values, strict=True):
+                mine[at[put]] = v[todo[put]]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, at = todo[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot, -1 where it is not there."""
+        out = np.full(len(keys), -1, np.int64)
+        at, wanted = self._at(keys), keys + np.uint64(1)
+        seen = self.slots[at]
+        hit = seen == wanted
+        out[hit] = at[hit]
+        todo = np.flatnonzero(~hit & (seen != 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            seen = self.slots[at]
+            hit = seen == wanted[todo]
+            out[todo[hit]] = at[hit]
+            on = ~hit & (seen != 0)
+            todo, at = todo[on], at[on]
+        return out
 
 
 def chances(levels: list[np.ndarray], symbols: int) -> np.ndarray:
@@ -140,41 +189,97 @@ def chances(levels: list[np.ndarray], symbols: int) -> np.ndarray:
 
 
 class Trie:
-    """Every context's row of log10 probabilities, found by the codes of its three bytes."""
+    """Chances of a symbol after ORDER bytes, from counted windows.
+
+    Given windows of some buckets only, it needs ``low``: the counts of all windows cut to DENSE - 1 bytes.
+    """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, only: np.ndarray | None = None):
-        """only: the contexts of full length to work out; all that occur if not given."""
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        self.symbols = np.unique(keys & np.uint32(255)).astype(np.int64)
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
+        levels = {k: summed(tails(keys, k), n) for k in range(DENSE, ORDER + 1)}
+        short = low or summed(tails(keys, DENSE - 1), n)
+        self.symbols = np.unique(short[0] & np.uint64(255)).astype(np.int64)
         a = len(self.symbols)
         self.code = np.full(256, a, np.uint8)
         self.code[self.symbols] = np.arange(a)
-        before = (keys >> np.uint32(8)).astype(np.int64)
-        found = [np.unique(before & ((1 << 8 * k) - 1)) if len(keys) else np.zeros(k == 0, np.int64) for k in range(ORDER + 1)]
-        if only is not None:
-            found[ORDER] = only
-        short = [rows_of(keys, n, found[k], k, self.symbols) for k in range(ORDER)]
-        parts, base = [], 0
-        w = a + 1
-        slot = np.zeros((w,) * ORDER, np.int32)
-        for k, contexts in enumerate(found):
+        code = self.code.astype(np.int64)
+        levels |= {k: summed(tails(short[0], k), short[1]) for k in range(DENSE)}
+        found = {k: np.unique(levels[k][0] >> np.uint64(8)) for k in range(DENSE + 1)}
+        if not a:
+            found[0] = np.zeros(1, np.uint64)
+        dense = [rows_of(*levels[k], found[k], code, a) for k in range(DENSE)]
+        parts, base, w = [], 0, a + 1
+        slot = np.zeros((w,) * DENSE, np.int32)
+        for k in range(DENSE + 1):
+            contexts = found[k]
             for lo in range(0, len(contexts), 4096):
                 some = contexts[lo : lo + 4096]
-                levels = [short[j][np.searchsorted(found[j], some & ((1 << 8 * j) - 1))] for j in range(min(k, ORDER - 1), -1, -1)]
-                if k == ORDER:
-                    own = slice(np.searchsorted(before, some[0]), np.searchsorted(before, some[-1], side="right"))
-                    levels.insert(0, rows_of(keys[own], n[own], some, ORDER, self.symbols))
-                parts.append(chances(levels, a))
-            spots = tuple(self.code[contexts >> 8 * j & 255] for j in range(k - 1, -1, -1))
+                counts = [dense[j][np.searchsorted(found[j], some & np.uint64((1 << 8 * j) - 1))] for j in range(min(k, DENSE - 1), -1, -1)]
+                if k == DENSE:
+                    own = slice(*np.searchsorted(levels[k][0], [some[0] << np.uint64(8), some[-1] + np.uint64(1) << np.uint64(8)]))
+                    counts.insert(0, rows_of(levels[k][0][own], levels[k][1][own], some, code, a))
+                parts.append(chances(counts, a))
+            spots = tuple(code[(contexts >> np.uint64(8 * j) & np.uint64(255)).astype(np.int64)] for j in range(k - 1, -1, -1))
             slot[(Ellipsis, *spots)] = np.arange(base, base + len(contexts))  # longer contexts later, over the shorter
             base += len(contexts)
         self.slot, self.rows = slot.ravel(), np.concatenate(parts)
-
-    def cost(self, windows: np.ndarray) -> np.ndarray:
-        w = len(self.symbols) + 1
-        c = [self.code[windows >> np.uint32(8 * j) & np.uint32(255)].astype(np.int32) for j in (3, 2, 1, 0)]
-        return self.rows[self.slot[(c[0] * w + c[1]) * w + c[2]], c[3]]
+        self.third = Hashed(levels[DENSE][0])
+        self.sparse = [self._level(k, levels[k], levels[k - 1]) for k in range(DENSE + 1, ORDER + 1)]
+
+    @staticmethod
+    def _level(k: int, own: tuple[np.ndarray, np.ndarray], below: tuple[np.ndarray, np.ndarray]) -> tuple[Hashed, Hashed]:
+        """Of one context length: log10 chances of seen symbols, and the two factors for the others by context."""
+        keys, n = own
+        if not len(keys):
+            return Hashed(keys, n), Hashed(keys, n, n)
+        contexts, begin = np.unique(keys >> np.uint64(8), return_index=True)
+        total, distinct = np.add.reduceat(n, begin), np.diff(np.append(begin, len(keys)))
+        whole = (total + distinct).astype(float)
+        chance = np.log10(n / np.repeat(whole, distinct))
+        # What the next shorter context has, in all and without the symbols seen here.
+        shorter, at = np.unique(below[0] >> np.uint64(8), return_index=True)
+        all_n, all_d = np.add.reduceat(below[1], at), np.diff(np.append(at, len(below[0])))
+        of = np.searchsorted(shorter, contexts & np.uint64((1 << 8 * (k - 1)) - 1))
+        same = np.add.reduceat(below[1][np.searchsorted(below[0], tails(keys, k - 1))], begin)
+        rest_n, rest_d = all_n[of] - same, all_d[of] - distinct
+        escape = np.log10(distinct / whole)
+        rest = np.maximum(rest_n + rest_d, 1)
+        seen = escape + np.log10((all_n[of] + all_d[of]) / rest)
+        on = np.where(rest_d > 0, np.log10(np.maximum(rest_d, 1) / rest), 0.0)
+        other = escape + on - np.log10(all_d[of] / (all_n[of] + all_d[of]))
+        return Hashed(keys, chance), Hashed(contexts, seen, other)
+
+    def cost(self, keys: np.ndarray) -> np.ndarray:
+        """log10 chance of each window's symbol after its context."""
+        out = np.empty(len(keys), np.float32)
+        self._cost(keys, ORDER, np.arange(len(keys)), out)
+        return out
+
+    def _cost(self, keys: np.ndarray, k: int, where: np.ndarray, out: np.ndarray) -> None:
+        """Fill out[where] with the chances by contexts of up to k bytes."""
+        if k == DENSE:
+            w = len(self.symbols) + 1
+            c = [self.code[(keys[where] >> np.uint64(8 * j) & np.uint64(255)).astype(np.int64)].astype(np.int32) for j in (3, 2, 1, 0)]
+            out[where] = self.rows[self.slot[(c[0] * w + c[1]) * w + c[2]], c[3]]
+            return
+        chance, factors = self.sparse[k - DENSE - 1]
+        at = chance.find(tails(keys[where], k))
+        hit = at >= 0
+        out[where[hit]] = chance.values[0][at[hit]]
+        left = where[~hit]
+        if not len(left):
+            return
+        self._cost(keys, k - 1, left, out)
+        at = factors.find(tails(keys[left], k) >> np.uint64(8))
+        known = at >= 0
+        left, at = left[known], at[known]
+        seen = self._seen(keys[left], k - 1)
+        out[left] += np.where(seen, factors.values[0][at], factors.values[1][at])
+
+    def _seen(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """Whether the symbol has followed the last k bytes."""
+        if k > DENSE:
+            return self.sparse[k - DENSE - 1][0].find(tails(keys, k)) >= 0
+        return self.third.find(tails(keys, k)) >= 0
 
     def score(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         line, begin = marked(flat, starts)
@@ -185,38 +290,55 @@ class Trie:
         return total
 
 
+class Shared:
+    """What every worker needs; the trie is built where it is first asked for, and stays there."""
+
+    def __init__(self, kept: dict[bytes, float], windows: tuple[np.ndarray, np.ndarray] | None):
+        self.kept, self.windows, self._trie = kept, windows, None
+
+    @property
+    def trie(self) -> Trie | None:
+        if self._trie is None and self.windows is not None:
+            self._trie = Trie(*self.windows)
+        return self._trie
+
+
 def _grams(counts: DataFrame) -> DataFrame:
     mark = F.unhex(F.lit("FF"))
-    number = F.conv(F.hex(F.substring("key", 2, 4)), 16, 10).cast("long")
+    number = F.conv(F.hex(F.substring("key", 2, ORDER + 1)), 16, 10).cast("long")
     return counts.filter((F.substring("key", 1, 1) == mark) & (F.col("n_train") > 0)).select(number.alias("w"), F.col("n_train").alias("n"))
 
 
 def _columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = rows.toArrow()
-    return got["w"].to_numpy().astype(np.uint32), got["n"].to_numpy().astype(np.int64)
+    return got["w"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
+
+
+def _nearest() -> Column:
+    return F.expr(f"shiftright(w, 8) & {(1 << 8 * DENSE) - 1}")
 
 
 def score_dealt(docs: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
-    """(uid, score) with every context in one bucket's task only; contexts of two bytes and less go along."""
+    """(uid, score) with every window in one bucket's task only, by its nearest DENSE bytes; shorter ones go along."""
 
     def needs(batches):
         for batch in batches:
             uid = batch.column(0).to_numpy()
             for k, flat, starts in _batches(batch.column(1)):
                 for doc, key in windows(*marked(flat, starts)):
-                    both, n = np.unique(doc.astype(np.uint64) << np.uint64(32) | key, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[k + (both >> np.uint64(32)).astype(np.int64)]), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["uid", "w", "n"])
-
-    bucket = F.pmod(F.xxhash64(F.shiftright("w", 8)), F.lit(buckets))
-    short = stage(grams.groupBy(F.expr("w & 16777215").alias("w")).agg(F.sum("n").alias("n")), "short")  # at most 2^24 rows
-    low_w, low_n = _columns(short)
-
-    def solve(need: pa.Table, own: pa.Table) -> pa.Table:
-        w, n = own["w"].to_numpy().astype(np.uint32), own["n"].to_numpy()
-        contexts = np.unique((w >> np.uint32(8)).astype(np.int64))
-        asked = need["w"].to_numpy().astype(np.uint32)
-        trie = Dealt(w, n, contexts, low_w, low_n)
-        got = trie.cost(asked).astype(np.float64) * need["n"].to_numpy()
+                    order = np.lexsort((key, doc))
+                    doc, key = doc[order], key[order]
+                    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(first, len(key)))
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[k + doc[first]]), pa.array(key[first].astype(np.int64)), pa.array(n)], ["uid", "w", "n"])
+
+    bucket = F.pmod(F.xxhash64(_nearest()), F.lit(buckets))
+    short = F.expr(f"w & {(1 << 8 * DENSE) - 1}").alias("w")
+    low = docs.sparkSession.sparkContext.broadcast(_columns(grams.groupBy(short).agg(F.sum("n").alias("n"))))  # at most 2^24 rows
+
+    def solve(need, own):
+        trie = Trie(own["w"].to_numpy().astype(np.uint64), own["n"].to_numpy(), low.value)
+        got = trie.cost(need["w"].to_numpy().astype(np.uint64)).astype(np.float64) * need["n"].to_numpy()
         return pa.table({"uid": need["uid"], "score": pa.array(got)}).group_by("uid").aggregate([("score", "sum")]).rename_columns(["uid", "score"])
 
     need = docs.select("uid", "text").mapInArrow(needs, "uid long, w long, n long").withColumn("b", bucket)
@@ -224,23 +346,16 @@ def score_dealt(docs: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
     return parts.groupBy("uid").agg(F.sum("score").alias("score"))
 
 
-class Dealt(Trie):
-    """The rows of a bucket's contexts: own windows for the full length, all windows of shorter contexts."""
-
-    def __init__(self, w: np.ndarray, n: np.ndarray, contexts: np.ndarray, low_w: np.ndarray, low_n: np.ndarray):
-        short = Trie(low_w, low_n, only=np.zeros(0, np.int64))  # no context of full length: low_w lacks a byte
-        self.symbols, self.code, self.slot, a = short.symbols, short.code, short.slot.copy(), len(short.symbols)
-        if not len(contexts):
-            self.rows = short.rows
-            return
-        levels = [rows_of(w, n, contexts, ORDER, self.symbols)]
-        for k in (2, 1, 0):
-            tails = np.unique((low_w >> np.uint32(8)).astype(np.int64) & ((1 << 8 * k) - 1))
-            table = rows_of(low_w, low_n, tails, k, self.symbols)
-            levels.append(table[np.searchsorted(tails, contexts & ((1 << 8 * k) - 1))])
-        c = [self.code[contexts >> 8 * j & 255].astype(np.int64) for j in (2, 1, 0)]
-        self.slot[(c[0] * (a + 1) + c[1]) * (a + 1) + c[2]] = len(short.rows) + np.arange(len(contexts))
-        self.rows = np.concatenate([short.rows, chances(levels, a)])
+def _frequent(words: DataFrame, top: int) -> list:
+    """All words from some count on, at most ``top``: a histogram of counts says where to draw the line."""
+    grade = F.floor(F.log2("n_all") * 8)
+    left, least = top, None
+    for r in words.groupBy(grade.alias("g")).count().orderBy(F.desc("g")).collect():  # 8 rows for each doubling
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["g"]
+    return words.filter(grade >= least).collect() if least is not None else []
 
 
 def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP) -> DataFrame:
@@ -254,13 +369,15 @@ def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP) -> DataFrame:
     ends = base.filter("not held_out").count()
     n, v = sums[0] + ends, sums[1] + (ends > 0)
     unknown, end = math.log10(1 / (n + v + 1)), math.log10((ends + 1) / (n + v + 1))
-    frequent = words.orderBy(F.desc("n_all"), "key").limit(top).collect()  # at most ``top`` rows
+    frequent = _frequent(words, top)
     kept = {bytes(r["key"]): math.log10((r["n_train"] + 1) / (n + v + 1)) for r in frequent}
-    found, symbols = grams.agg(F.countDistinct(F.shiftright("w", 8)), F.countDistinct(F.expr("w & 255"))).first()
-    dealt = found * (symbols + 1) > cells
-    trie = None if dealt else Trie(*_columns(grams))
+    found, symbols, entries = grams.agg(F.countDistinct(_nearest()), F.countDistinct(F.expr("w & 255")), F.count(F.lit(1))).first()
+    size = found * (symbols + 1) + 8 * entries  # numbers that the trie holds
+    dealt = size > cells
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(kept, None if dealt else _columns(grams)))
 
     def tokens(batches):
+        kept, trie = shared.value.kept, shared.value.trie
         for batch in batches:
             out = []
             for one in batch.column(2).to_pylist():
@@ -287,7 +404,7 @@ def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP) -> DataFrame:
     rare = asked.join(words, "key", "left").groupBy("uid").agg((F.sum(value) / copies).alias("more"), (F.count(F.when(F.col("n_train") > 0, 1)) / copies).cast("long").alias("also"))
     out = told.drop("rare").join(rare, "uid", "left")
     if dealt:
-        scored = score_dealt(base, grams, -(-found * (symbols + 1) // cells))
+        scored = score_dealt(base, grams, -(-size // max(1, cells)))
         times = told.groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
         out = out.drop("score").join(scored.join(times, "uid").select("uid", (F.col("score") / F.col("times")).alias("score")), "uid")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
