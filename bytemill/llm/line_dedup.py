@@ -4,10 +4,10 @@ Distinct lines of at least ``SHORTEST`` characters are cut into one segment more
 allowed, so two lines within that distance share a segment. Every line indexes its own segments and
 probes, for every length it can match, the substrings that can align with a segment there (shift
 bounded by the edits left on either side). Pairs whose letter counts are too far apart are left out;
-the rest are verified by edit distance over the band of
-2 * EDITS + 1 diagonals, all of which one step updates in parallel as bits of a word. An index key that
-``CROWD`` lines share is found by a frequent-items sketch and refined: its lines join on segments of
-what remains of them. Links become classes through connected components; the first document of a class
+the rest are verified by edit distance over the band of 2 * EDITS + 1 diagonals, all of which one step
+updates in parallel as bits of a word. An index key that ``CROWD`` lines share is found by a
+frequent-items sketch and refined: its lines join on segments of what remains of them, and meet only if
+their letter counts allow it. Links become classes through connected components; the first document of a class
 keeps one line, all others of the class go. Shorter lines are duplicates only if equal.
 
 Defined cases: lines are compared without outer white space, blank ones do not count; a null text has no
@@ -100,9 +100,9 @@ def candidates(lines: DataFrame) -> DataFrame:
     counted = counted.select("id", sketch(F.col("line")).alias("sketch"))
     again = index_rows(indexed.join(crowds, "key").select(kept)).join(counted, "id")
     asked = probe_rows(probes.join(crowds, "key").select(kept)).join(counted, "id")
-    far = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * EDITS
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * EDITS
     plain = _meet(indexed.join(crowds, "key", "left_anti"), probes.join(crowds, "key", "left_anti"))
-    return plain.unionByName(_meet(again, asked, far)).distinct()
+    return plain.unionByName(_meet(again, asked, near)).distinct()
 
 
 def _meet(indexed: DataFrame, probes: DataFrame, near: Column | None = None) -> DataFrame:
