@@ -36,7 +36,7 @@ DENSE = 3
 MARK = 0xFF  # no UTF-8 text holds it
 CELLS = 3 << 23
 TOP = 1 << 17
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Distinct entries that a task gathers before it hands them on.
 GATHERED = 1 << 19
 
@@ -92,7 +92,7 @@ def gather(docs: DataFrame) -> DataFrame:
             for _, flat, starts in _batches(batch.column(1).filter(pa.array(~held))):
                 for _, key in windows(*marked(flat, starts)):
                     grams.append(np.unique(key, return_counts=True))
-                if len(grams) > 32:
+                if len(grams) > 8:
                     grams = [_merged(grams)]
             if len(trained) + len(other) > GATHERED or grams and len(grams[0][0]) > GATHERED:
                 yield from flush()
