@@ -55,15 +55,17 @@ def marked(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def windows(line: np.ndarray, begin: np.ndarray):
     """(document, window) in blocks; a window is ORDER bytes of context and the symbol, as a number."""
+    doc = np.repeat(np.arange(len(begin) - 1, dtype=np.int32), np.diff(begin))
+    good = np.ones(len(line), bool)
+    for k in range(1, ORDER + 1):
+        good[begin[1:] - k] = False  # windows that would reach into the next document
     for lo in range(0, len(line) - ORDER, BLOCK):
         b = line[lo : lo + BLOCK + ORDER].astype(np.uint64)
         key = np.zeros(len(b) - ORDER, np.uint64)
         for k in range(ORDER + 1):
             key = key << np.uint64(8) | b[k : k + len(key)]
-        at = np.arange(lo, lo + len(key))
-        doc = np.searchsorted(begin, at, side="right") - 1
-        good = at + ORDER < begin[doc + 1]
-        yield doc[good], key[good]
+        own = good[lo : lo + len(key)]
+        yield doc[lo : lo + len(key)][own], key[own]
 
 
 def gather(docs: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def gather(docs: DataFrame) -> DataFrame:
             for _, flat, starts in _batches(batch.column(1).filter(pa.array(~held))):
                 for _, key in windows(*marked(flat, starts)):
                     grams.append(np.unique(key, return_counts=True))
-                if len(grams) > 8:
+                if sum(len(k) for k, _ in grams) > 6 * GATHERED:
                     grams = [_merged(grams)]
             if len(trained) + len(other) > GATHERED or grams and len(grams[0][0]) > GATHERED:
                 yield from flush()
@@ -106,8 +108,7 @@ def gather(docs: DataFrame) -> DataFrame:
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
 def tails(keys: np.ndarray, k: int) -> np.ndarray:
@@ -116,8 +117,13 @@ def tails(keys: np.ndarray, k: int) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, n, len(found)).astype(np.int64)
+    """Distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n[order], first)
 
 
 def rows_of(keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, code: np.ndarray, a: int) -> np.ndarray:
