@@ -94,7 +94,7 @@ def gather(docs: DataFrame) -> DataFrame:
             for _, flat, starts in _batches(batch.column(1).filter(pa.array(~held))):
                 for _, key in windows(*marked(flat, starts)):
                     grams.append(np.unique(key, return_counts=True))
-                if sum(len(k) for k, _ in grams) > 6 * GATHERED:
+                if sum(len(k) for k, _ in grams) > 2 * GATHERED:
                     grams = [_merged(grams)]
             if len(trained) + len(other) > GATHERED or grams and len(grams[0][0]) > GATHERED:
                 yield from flush()
