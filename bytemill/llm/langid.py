@@ -5,7 +5,9 @@ blank), weighted by the square root of the count times the inverse document freq
 Document frequencies cover every training row; several centroids per language come from spherical
 k-means over a sample of at most about ``SAMPLE`` labelled rows, drawn by the hash of the id. The
 prediction is the language of the centroid with the largest cosine, and the score is that cosine. A
-text is rejected if its distance, one minus the cosine, exceeds ``FARTHEST``.
+text is rejected if its cosine is below ``SLACK`` times the ``QUANTILE`` of the cosines of all training
+rows of its length (by powers of two of the trigrams; lengths with fewer than ``POOL`` rows take the
+shorter ones in, whose cosines are lower, and texts shorter than all training rows are not rejected).
 
 Defined cases: a null text and a text without a letter get ``und`` and score 0 and are rejected; a tie
 goes to the first language by name; with no labelled row every text is ``und``; a null id hashes as
@@ -24,7 +26,11 @@ from bytemill.llm.text import fraction, whole
 DIMS = 4096
 SAMPLE = 2400
 CENTROIDS = 3
-FARTHEST = 0.99
+QUANTILE = 0.001
+SLACK = 0.75
+POOL = 500
+GRADES = 32
+STEPS = 1000
 BLOCK = 1 << 21
 
 _FOLD = np.full(256, 32, np.uint32)
@@ -88,9 +94,27 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _grade(tf: np.ndarray) -> np.ndarray:
+    """Power of two of the number of trigrams."""
+    return np.log2(np.maximum(tf.sum(1), 1)).astype(np.int64).clip(0, GRADES - 1)
+
+
+def _least(seen: np.ndarray) -> np.ndarray:
+    """Smallest cosine that is not rejected, by grade; seen holds rows by grade and step of the cosine."""
+    least = np.zeros(GRADES)
+    for g in range(GRADES):
+        low = g
+        while low and seen[low : g + 1].sum() < POOL:
+            low -= 1
+        upto = seen[low : g + 1].sum(0).cumsum()
+        if upto[-1]:
+            least[g] = SLACK * np.searchsorted(upto, max(1, QUANTILE * upto[-1])) / STEPS
+    return least
+
+
 class Model:
-    def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray):
-        self.idf, self.langs, self.centroids = idf, langs, centroids
+    def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, least: np.ndarray):
+        self.idf, self.langs, self.centroids, self.least = idf, langs, centroids, least
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
@@ -131,24 +155,42 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
             c = _cluster(x, centroids)
             names += [lang] * len(c)
             found.append(c)
-    return Model(idf, names, np.concatenate(found).astype(np.float32) if found else np.zeros((0, DIMS), np.float32))
+    centers = np.concatenate(found).astype(np.float32) if found else np.zeros((0, DIMS), np.float32)
+
+    def cosines(batches):
+        seen = np.zeros((GRADES, STEPS), np.int64)
+        for batch in batches:
+            for _, flat, starts in _batches(batch.column(0)):
+                tf = counts(flat, starts)
+                step = ((_weigh(tf, idf) @ centers.T).max(1) * STEPS).astype(np.int64).clip(0, STEPS - 1)
+                some = tf.any(1)
+                np.add.at(seen, (_grade(tf)[some], step[some]), 1)
+        grade, step = np.nonzero(seen)
+        yield pa.RecordBatch.from_pydict({"grade": pa.array(grade.astype(np.int32)), "step": pa.array(step.astype(np.int32)), "n": pa.array(seen[grade, step])})
+
+    seen = np.zeros((GRADES, STEPS), np.int64)
+    if names:
+        for r in rows.select("text").mapInArrow(cosines, "grade int, step int, n long").groupBy("grade", "step").agg(F.sum("n").alias("n")).collect():  # GRADES * STEPS rows
+            seen[r["grade"], r["step"]] = r["n"]
+    return Model(idf, names, centers, _least(seen))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred, score and rejected; other columns stay, clashing ones are replaced."""
-    idf, langs, centroids = model.idf, np.array(model.langs or ["und"]), model.centroids
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+    idf, langs, centroids, least = model.idf, np.array(model.langs or ["und"]), model.centroids, model.least
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("far", pa.bool_())])
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, far: boolean>")
     def nearest(texts: pa.Array) -> pa.Array:
-        best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        best, score, far = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for k, flat, starts in _batches(texts):
             if len(centroids):
-                cos = _weigh(counts(flat, starts), idf) @ centroids.T
-                best[k : k + len(cos)], score[k : k + len(cos)] = cos.argmax(1), cos.max(1)
-        return pa.StructArray.from_arrays([pa.array(langs[best], pa.string()), pa.array(score.clip(0, 1))], fields=list(kind))
+                tf = counts(flat, starts)
+                cos = _weigh(tf, idf) @ centroids.T
+                best[k : k + len(cos)], score[k : k + len(cos)], far[k : k + len(cos)] = cos.argmax(1), cos.max(1), cos.max(1) < least[_grade(tf)]
+        return pa.StructArray.from_arrays([pa.array(langs[best], pa.string()), pa.array(score.clip(0, 1)), pa.array(far)], fields=list(kind))
 
     lettered = F.col("text").isNotNull() & whole(F.col("text")).rlike(r"\p{L}") & F.lit(bool(model.langs))
     out = docs.drop("lang_pred", "score", "rejected").withColumn("_p", nearest(whole(F.col("text"))))
     out = out.withColumns({"lang_pred": F.when(lettered, F.col("_p.lang")).otherwise("und"), "score": F.when(lettered, F.col("_p.score")).otherwise(0.0)})
-    return out.withColumn("rejected", (F.col("lang_pred") == "und") | (1 - F.col("score") > FARTHEST)).drop("_p")
+    return out.withColumn("rejected", (F.col("lang_pred") == "und") | F.col("_p.far")).drop("_p")

@@ -269,6 +269,25 @@ def test_languages_of_awkward_rows(spark):
     assert langid.predict(frame(spark, []), model).isEmpty()
 
 
+def test_far_texts_are_rejected(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text", "lang").coalesce(4)
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    model = langid.fit(docs.filter(~out))
+    rng = random.Random(0)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(map(chr, range(0x4E00, 0x5000)))]
+    junk = [" ".join("".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(150)) for a in alphabets for _ in range(25)]
+    got = langid.predict(spark.createDataFrame([(k, t, None) for k, t in enumerate(junk)], docs.schema), model).collect()
+    assert sum(r["rejected"] for r in got) >= 0.97 * len(junk)
+    kept = langid.predict(docs.filter(out & F.col("text").rlike(r"\p{L}")), model).groupBy((F.length("text") < 200).alias("short")).agg(F.avg(F.col("rejected").cast("int")).alias("gone")).collect()
+    assert {r["short"]: r["gone"] < (0.02 if r["short"] else 0.001) for r in kept} == {True: True, False: True}
+    short = ["The house is there.", "That is the one.", "Les maisons dans la ville.", "Die Stadt und der Berg."]
+    assert not any(r["rejected"] for r in langid.predict(spark.createDataFrame([(k, t, None) for k, t in enumerate(short)], docs.schema), model).collect())
+    foreign = langid.predict(docs.filter("lang = 'de' and length(text) > 1000"), langid.fit(docs.filter("lang <> 'de'")))
+    assert foreign.agg(F.avg(F.col("rejected").cast("int"))).first()[0] > 0.5
+
+
 def test_trigram_counts_cross_blocks(monkeypatch):
     text = random.Random(0).randbytes(5000)
     flat, starts = np.frombuffer(text, np.uint8), np.array([0, 7, 7, 2500, 5000])
