@@ -10,7 +10,8 @@ one for the rest, so most bytes of a text cost one look-up.
 
 The counts are broadcast and the trie is built once a worker while its size stays within ``CELLS``. Beyond
 that, windows are dealt into buckets by their nearest bytes, each task builds the trie of its own bucket,
-and documents send the counts of their windows there; results are equal. The word model beside it keeps its ``TOP`` most frequent
+and documents send the counts of their windows there; results are equal. The windows of a bucket that
+has many are dealt again, at ``ROWS`` or so a task, and its counts go to each of those tasks. The word model beside it keeps its ``TOP`` most frequent
 words in a broadcast table and joins all rarer ones with the counted vocabulary.
 
 Defined cases: a null text is empty and scores its end alone; with no training rows every byte is
@@ -35,6 +36,7 @@ ORDER = 5
 DENSE = 3
 MARK = 0xFF  # no UTF-8 text holds it
 CELLS = 3 << 23
+ROWS = 1 << 22
 TOP = 1 << 17
 BLOCK = 1 << 19
 #: Distinct entries that a task gathers before it hands them on.
@@ -324,10 +326,11 @@ def _nearest() -> Column:
     return F.expr(f"shiftright(w, 8) & {(1 << 8 * DENSE) - 1}")
 
 
-def score_dealt(docs: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
-    """(uid, score) with every window in one bucket's task only, by its nearest DENSE bytes; shorter ones go along."""
+def needed(docs: DataFrame, buckets: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, w, n, b, part), the distinct windows of documents dealt by bucket and at most about ``rows`` each, and (b, parts)."""
 
     def needs(batches):
+        at = 0
         for batch in batches:
             uid = batch.column(0).to_numpy()
             for k, flat, starts in _batches(batch.column(1)):
@@ -336,20 +339,42 @@ def score_dealt(docs: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
                     doc, key = doc[order], key[order]
                     first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
                     n = np.diff(np.append(first, len(key)))
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[k + doc[first]]), pa.array(key[first].astype(np.int64)), pa.array(n)], ["uid", "w", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[k + doc[first]]), pa.array(key[first].astype(np.int64)), pa.array(n), pa.array(at + np.arange(len(n)))], ["uid", "w", "n", "at"])
+                    at += len(n)
 
-    bucket = F.pmod(F.xxhash64(_nearest()), F.lit(buckets))
+    def loads(batches):
+        for batch in batches:
+            for _, flat, starts in _batches(batch.column(0)):
+                for _, key in windows(*marked(flat, starts)):
+                    near, n = np.unique(key >> np.uint64(8) & np.uint64((1 << 8 * DENSE) - 1), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((near << np.uint64(8)).astype(np.int64)), pa.array(n)], ["w", "n"])
+
+    need = docs.select("uid", "text").mapInArrow(needs, "uid long, w long, n long, at long").withColumn("b", _bucket(buckets))
+    load = docs.select("text").mapInArrow(loads, "w long, n long").groupBy(_bucket(buckets).alias("b")).agg(F.sum("n").alias("n"))
+    parts = stage(load.select("b", F.ceil(F.col("n") / rows).alias("parts")), "parts")  # a row a bucket
+    return need.join(F.broadcast(parts), "b").withColumn("part", F.pmod(F.xxhash64("uid", "at"), F.col("parts"))).drop("at", "parts"), parts
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(_nearest()), F.lit(buckets))
+
+
+def score_dealt(docs: DataFrame, grams: DataFrame, buckets: int, rows: int = ROWS) -> DataFrame:
+    """(uid, score) with every window in one bucket's tasks only, by its nearest DENSE bytes; shorter ones go along."""
     short = F.expr(f"w & {(1 << 8 * DENSE) - 1}").alias("w")
     low = docs.sparkSession.sparkContext.broadcast(_columns(grams.groupBy(short).agg(F.sum("n").alias("n"))))  # at most 2^24 rows
 
     def solve(need, own):
         trie = Trie(own["w"].to_numpy().astype(np.uint64), own["n"].to_numpy(), low.value)
-        got = trie.cost(need["w"].to_numpy().astype(np.uint64)).astype(np.float64) * need["n"].to_numpy()
+        w = need["w"].to_numpy().astype(np.uint64)
+        costs = [trie.cost(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)] or [np.zeros(0)]
+        got = np.concatenate(costs).astype(np.float64) * need["n"].to_numpy()
         return pa.table({"uid": need["uid"], "score": pa.array(got)}).group_by("uid").aggregate([("score", "sum")]).rename_columns(["uid", "score"])
 
-    need = docs.select("uid", "text").mapInArrow(needs, "uid long, w long, n long").withColumn("b", bucket)
-    parts = need.groupBy("b").cogroup(grams.withColumn("b", bucket).groupBy("b")).applyInArrow(solve, "uid long, score double")
-    return parts.groupBy("uid").agg(F.sum("score").alias("score"))
+    need, parts = needed(docs, buckets, rows)
+    own = grams.withColumn("b", _bucket(buckets)).join(F.broadcast(parts), "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    solved = need.groupBy("b", "part").cogroup(own.groupBy("b", "part")).applyInArrow(solve, "uid long, score double")
+    return solved.groupBy("uid").agg(F.sum("score").alias("score"))
 
 
 def _frequent(words: DataFrame, top: int) -> list:
@@ -364,7 +389,7 @@ def _frequent(words: DataFrame, top: int) -> list:
     return words.filter(grade >= least).collect() if least is not None else []
 
 
-def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP) -> DataFrame:
+def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP, rows: int = ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     base = docs.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), text.alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
@@ -410,7 +435,7 @@ def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP) -> DataFrame:
     rare = asked.join(words, "key", "left").groupBy("uid").agg((F.sum(value) / copies).alias("more"), (F.count(F.when(F.col("n_train") > 0, 1)) / copies).cast("long").alias("also"))
     out = told.drop("rare").join(rare, "uid", "left")
     if dealt:
-        scored = score_dealt(base, grams, -(-size // max(1, cells)))
+        scored = score_dealt(base, grams, -(-size // max(1, cells)), rows)
         times = told.groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
         out = out.drop("score").join(scored.join(times, "uid").select("uid", (F.col("score") / F.col("times")).alias("score")), "uid")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

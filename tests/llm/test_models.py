@@ -221,6 +221,19 @@ def test_scores(spark, cells, top):
         assert a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-6) and a[6] == pytest.approx(b[6], rel=1e-5, abs=1e-4)
 
 
+def test_hot_contexts_are_split(spark):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(k, "aaaaaaaa" + chr(97 + k % 26), "en", "a", 0, None, None) for k in range(2000)])
+    order = lambda rows: sorted((r["doc_id"], round(r["score"], 3)) for r in rows)
+    assert order(ppm.lm_scores(docs, cells=1000, rows=500).collect()) == order(ppm.lm_scores(docs).collect())
+    base = docs.select(F.xxhash64("doc_id", "text").alias("uid"), F.col("text").cast("binary").alias("text"))
+    need, _ = ppm.needed(base, 3, 500)
+    sizes = [r["count"] for r in need.groupBy("b", "part").count().collect()]
+    assert max(sizes) < 700 and sum(sizes) == need.select("uid", "w").distinct().count()
+    assert max(r["count"] for r in need.groupBy("b").count().collect()) > 2000
+
+
 def test_no_training_rows(spark):
     held = [r for r in documents() if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 and r[1]]
     got = ppm.lm_scores(frame(spark, held[:3])).collect()
