@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bytemill.functions import chunkcodec, codecs, hashing, lz, rans
 from bytemill.operators.analysis import ngrams
+from bytemill.plans.scratch import stage
 
 
 def binary(run: Callable[[bytes], bytes], *columns: Column, kind: str = "binary") -> Column:
@@ -158,38 +159,86 @@ def decode_chunks(coded: Column, stages: Column, genome: codecs.Genome | None =
     return each(coded, stages)
 
 
-#: Chunks that a delta group holds in a task at most; larger groups are split by hash, as below.
+#: Chunks that a delta group holds in a task, or so; larger groups are worked through in rounds, as below.
 GROUP = 20_000
 
 
+def _deltas(table: pa.Table, best: dict) -> pa.Table:
+    """Chunks of a group by uid, each against the full ones before it; ``best`` has what earlier blocks offer."""
+    table = table.sort_by("uid")
+    uids, data = table["uid"].to_pylist(), table["data"].to_pylist()
+    out, whole = [], []
+    for uid, target in zip(uids, data, strict=True):
+        runs = [(len(d), k, ref_uid, d) for k, (ref_uid, ref) in enumerate(whole) if (d := codecs.delta_against(ref, target)) is not None]
+        if uid in best:
+            runs.append((len(best[uid][1]), -1, *best[uid]))
+        if runs:
+            _, _, ref_uid, d = min(runs, key=lambda x: x[:2])
+            out.append(("DELTA", ref_uid, len(target), d))
+        else:
+            whole.append((uid, target))
+            out.append(("FULL", None, len(target), target))
+    cols = list(zip(*out, strict=True)) or [()] * 4
+    return pa.table({"blob_id": table["blob_id"], "uid": table["uid"], "kind": pa.array(cols[0], pa.string()), "ref_uid": pa.array(cols[1], pa.int64()), "original_size": pa.array(cols[2], pa.int32()), "data": pa.array(cols[3], pa.binary())})
+
+
+def _in_rounds(rows: DataFrame, kind: str) -> DataFrame:
+    """Groups ``g`` in blocks of about GROUP by uid: a block meets the full chunks of each earlier block, then itself."""
+    most = rows.groupBy("g").count().agg(F.max("count")).first()[0]
+    blocks = -(-most // GROUP)
+    cuts = rows.groupBy("g").agg(F.percentile_approx("uid", [k / blocks for k in range(1, blocks)], 100_000).alias("cuts"))
+    rows = stage(rows.join(cuts, "g").withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col("uid")))).drop("cuts"), "blocks")
+
+    def against(targets, whole):
+        whole = whole.sort_by("uid")
+        refs = list(zip(whole["uid"].to_pylist(), whole["data"].to_pylist(), strict=True))
+        found = []
+        for uid, target in zip(targets["uid"].to_pylist(), targets["data"].to_pylist(), strict=True):
+            runs = [(len(d), ref_uid, d) for ref_uid, ref in refs if (d := codecs.delta_against(ref, target)) is not None]
+            if runs:
+                found.append((targets["g"][0].as_py(), uid, *min(runs, key=lambda x: x[:2])))
+        cols = list(zip(*found, strict=True)) or [()] * 5
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["g", "uid", "size", "ref_uid", "run"])
+
+    def settle(targets, best):
+        return _deltas(targets, dict(zip(best["uid"].to_pylist(), zip(best["ref_uid"].to_pylist(), best["run"].to_pylist(), strict=True), strict=True))).append_column("g", targets["g"])
+
+    done = None
+    for block in range(blocks):
+        now = rows.filter(F.col("block") == block)
+        if done is None:
+            made = now.groupBy("g").applyInArrow(lambda t: _deltas(t, {}).append_column("g", t["g"]), f"{kind}, g string")
+        else:
+            whole = done.filter("kind = 'FULL'").select(F.col("g").alias("of"), "uid", "data", F.col("block").alias("at"))
+            asked = now.drop("block").join(whole.select(F.col("of").alias("g"), F.col("at").alias("to")).distinct(), "g")
+            offers = asked.groupBy("g", "to").cogroup(whole.groupBy("of", "at")).applyInArrow(against, "g string, uid long, size int, ref_uid long, run binary")
+            best = offers.groupBy("g", "uid").agg(F.min(F.struct("size", "ref_uid", "run")).alias("b")).select("g", "uid", "b.ref_uid", "b.run")
+            made = now.groupBy("g").cogroup(best.groupBy("g")).applyInArrow(settle, f"{kind}, g string")
+        made = stage(made.withColumn("block", F.lit(block)), "round")
+        done = made if done is None else done.unionByName(made)
+    return done.drop("g", "block")
+
+
 def delta_encode(chunks: DataFrame) -> DataFrame:
     """(blob_id, uid, kind, ref_uid, original_size, data): differences to an earlier similar chunk, or all of it.
 
     Candidates share the similarity hash, so a group never looks beyond its own hash and groups run in
-    parallel. Short chunks are stored whole and skip the shuffle. Of a group with more chunks than GROUP,
-    each part of that size (by uid) has references of its own.
+    parallel. Short chunks are stored whole and skip the shuffle. A group with more chunks than GROUP is
+    worked through in blocks by uid, each compared with all full chunks before; results are the same.
     """
-    short = chunks.filter(F.octet_length("data") < 64)
-    rest = chunks.filter(F.octet_length("data") >= 64).withColumn("sim", similarity_hash(F.col("data"))).withColumn("part", F.floor(F.col("uid") / GROUP))
     kind = f"blob_id {dict(chunks.dtypes)['blob_id']}, uid long, kind string, ref_uid long, original_size int, data binary"
-
-    def run(key, table):
-        table = table.sort_by("uid")
-        uids, data = table["uid"].to_pylist(), table["data"].to_pylist()
-        out, whole = [], []
-        for uid, target in zip(uids, data, strict=True):
-            runs = [(len(d), k, d) for k, (_, ref) in enumerate(whole) if (d := codecs.delta_against(ref, target)) is not None]
-            if runs:
-                _, k, best = min(runs, key=lambda x: x[:2])
-                out.append(("DELTA", whole[k][0], len(target), best))
-            else:
-                whole.append((uid, target))
-                out.append(("FULL", None, len(target), target))
-        cols = list(zip(*out, strict=True))
-        return pa.table({"blob_id": table["blob_id"], "uid": table["uid"], "kind": pa.array(cols[0], pa.string()), "ref_uid": pa.array(cols[1], pa.int64()), "original_size": pa.array(cols[2], pa.int32()), "data": pa.array(cols[3], pa.binary())})
-
-    made = rest.select("blob_id", F.col("uid").cast("long"), "data", "sim", "part").groupBy("blob_id", "sim", "part").applyInArrow(run, kind)
-    full = short.select("blob_id", F.col("uid").cast("long").alias("uid"), F.lit("FULL").alias("kind"), F.lit(None).cast("long").alias("ref_uid"), F.octet_length("data").alias("original_size"), "data")
+    chunks = chunks.select("blob_id", F.col("uid").cast("long").alias("uid"), "data")
+    short = chunks.filter(F.octet_length("data") < 64)
+    key = F.to_json(F.struct("blob_id", similarity_hash(F.col("data")).alias("sim"))).alias("g")
+    rest = stage(chunks.filter(F.octet_length("data") >= 64).select("blob_id", "uid", "data", key), "similar")
+    large = stage(rest.groupBy("g").count().filter(F.col("count") > GROUP).select("g"), "large")  # one in GROUP rows at most
+    some = not large.isEmpty()
+    usual = rest.join(F.broadcast(large), "g", "left_anti") if some else rest
+    made = usual.groupBy("g").applyInArrow(lambda t: _deltas(t, {}), kind)
+    if some:
+        made = made.unionByName(_in_rounds(rest.join(F.broadcast(large), "g"), kind))
+    full = short.select("blob_id", "uid", F.lit("FULL").alias("kind"), F.lit(None).cast("long").alias("ref_uid"), F.octet_length("data").alias("original_size"), "data")
     return made.unionByName(full)
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from bytemill.functions import codecs
 from bytemill.functions import columns as C
 from bytemill.functions.chunker import ChunkerConfig
 from bytemill.operators import analysis as A
@@ -97,6 +98,25 @@ def test_deltas(spark):
     assert back == {(b, u): d for b, u, d in chunks}
 
 
+@pytest.mark.parametrize("group", [K.GROUP, 3])
+def test_deltas_look_at_all_earlier_chunks(spark, monkeypatch, group):
+    import random
+
+    monkeypatch.setattr(K, "GROUP", group)
+    monkeypatch.setattr(K, "similarity_hash", lambda c: F.lit("same"))
+    rng = random.Random(2)
+    bases = [rng.randbytes(600) for _ in range(3)]
+    chunks = [(b, 15_001 * k, bases[(k * 7) % 3 if k > 2 else k // 2][:-2] + bytes([k, k])) for b in (1, None) for k in range(12)]
+    want, whole = {}, {}
+    for b, u, d in chunks:
+        runs = [(len(x), v, x) for v, w in whole.get(b, []) if (x := codecs.delta_against(w, d)) is not None]
+        want[b, u] = ("DELTA", min(runs)[1], min(runs)[2]) if runs else ("FULL", None, d)
+        if not runs:
+            whole.setdefault(b, []).append((u, d))
+    made = K.delta_encode(spark.createDataFrame(chunks, "blob_id long, uid long, data binary")).collect()
+    assert {(r["blob_id"], r["uid"]): (r["kind"], r["ref_uid"], bytes(r["data"])) for r in made} == want
+
+
 def test_permissive_decompression(spark, rows):
     made = engine.compress(rows.filter("blob_id = 5")).first()["archive"]
     bad = spark.createDataFrame([(1, bytes(made)), (2, b"no archive"), (3, b""), (4, None), (5, bytes(made)[:-1] + b"?")], "blob_id long, archive binary")
