@@ -34,8 +34,8 @@ def _histogram(batch: pa.RecordBatch, column: int = 1) -> np.ndarray:
     return out
 
 
-def byte_histogram(df: DataFrame, sample: int = SAMPLED) -> DataFrame:
-    """(blob_id, byte, cnt) of the bytes that occur. A blob is one row, so no shuffle is needed."""
+def byte_histogram(df: DataFrame, sample: int | None = SAMPLED) -> DataFrame:
+    """(blob_id, byte, cnt) of the bytes that occur, in all of a blob if ``sample`` is None. A blob is one row, so no shuffle is needed."""
 
     def run(batches):
         for batch in batches:
@@ -44,7 +44,8 @@ def byte_histogram(df: DataFrame, sample: int = SAMPLED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(byte.astype(np.int32)), pa.array(counts[row, byte])], ["blob_id", "byte", "cnt"])
 
     kind = dict(df.dtypes)["blob_id"]
-    return df.select("blob_id", F.substring("content", 1, sample)).mapInArrow(run, f"blob_id {kind}, byte int, cnt long")
+    content = F.col("content") if sample is None else F.substring("content", 1, sample)
+    return df.select("blob_id", content).mapInArrow(run, f"blob_id {kind}, byte int, cnt long")
 
 
 def measures(content: pa.Array) -> pa.Array:

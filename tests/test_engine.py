@@ -117,6 +117,12 @@ def test_deltas_look_at_all_earlier_chunks(spark, monkeypatch, group):
     assert {(r["blob_id"], r["uid"]): (r["kind"], r["ref_uid"], bytes(r["data"])) for r in made} == want
 
 
+def test_escape_byte_of_the_whole_corpus(spark):
+    body = bytes(b for b in range(256) if b != 7) * 300  # 7 comes behind the first 64 KB only, more often than others
+    df = spark.createDataFrame([(1, body + bytes([7]) * 400)], "blob_id long, content binary")
+    assert K.corpus_genome(df, 3).escape == 0
+
+
 def test_permissive_decompression(spark, rows):
     made = engine.compress(rows.filter("blob_id = 5")).first()["archive"]
     bad = spark.createDataFrame([(1, bytes(made)), (2, b"no archive"), (3, b""), (4, None), (5, bytes(made)[:-1] + b"?")], "blob_id long, archive binary")
