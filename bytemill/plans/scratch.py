@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or os.path.join(tempfile.gettempdir(), "bytemill-scratch")).rstrip("/")
 
 
@@ -22,13 +25,21 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a staged table that no later job will read."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "/bytemill/" in str(path):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files behind staged tables that no later job will read."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if "/bytemill/" in str(path):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finish(df: DataFrame, tag: str, *used: DataFrame) -> DataFrame:
+    """Stage a small result and forget the staged tables that it was made from."""
+    out = stage(df, tag)
+    forget(*used)
+    return out
 
 
 def put_on_path(spark: SparkSession) -> None:
