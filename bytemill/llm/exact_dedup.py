@@ -3,71 +3,96 @@
 A digest of the text without white space decides equality. A Misra-Gries sketch (the frequent
 items aggregate of Spark SQL) over all digests names at most ``CANDIDATES`` suspects; their exact
 counts and winners come from a partially aggregated group-by, and those few rows are broadcast, so
-no copy of a frequent text takes part in a shuffle. All other digests use an ordinary window.
+no copy of a frequent text takes part in a shuffle. The winners of all other digests come from a
+group-by that is aggregated inside each task first, and are joined back; of those joins, Spark splits
+partitions that are skewed. Only digests take part, never texts: ``exact_dedup`` takes rows out by a
+broadcast table of the digests that occur more than once while there are at most ``rows.FEW`` of
+them, and by shuffling beyond that.
 
 Defined cases: a null text counts as empty; all empty texts are one group; a null ``doc_id`` ranks
-after every number; of rows that repeat the winner's ``doc_id`` and text one is kept; an empty table
-gives an empty result. Columns of the input whose names clash with the result's are replaced.
+after every number; of rows that repeat the winner's ``doc_id`` and text one is kept; very long texts are
+hashed as a whole; an empty table gives an empty result. Columns of the input whose names clash with the
+result's are replaced by ``exact_groups`` and pass through ``exact_dedup``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytemill.llm.rows import one_of_equals, small
 from bytemill.llm.text import BLANKS, whole, without
-from bytemill.plans.scratch import stage
+from bytemill.plans.scratch import forget, stage
 
-#: Most digests that are ever broadcast (about 100 bytes each).
+#: Most digests that are ever broadcast as frequent (about 100 bytes each).
 CANDIDATES = 512
 #: Counters of the sketch, over two times the candidates as it asks.
 COUNTERS = 4096
-ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _digest(text):
-    return F.sha2(without(whole(text), BLANKS).cast("binary"), 256)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all else with the digest and the length that rank a row."""
+    digest = F.sha2(without(whole(F.col("text")), BLANKS).cast("binary"), 256)
+    return docs.withColumns({"text_sha256": digest, "_chars": F.char_length(whole(F.col("text"))).cast("long")})
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    docs = docs.drop(*ADDED, "_chars")
-    return docs.withColumns({"text_sha256": _digest(F.col("text")), "_chars": F.char_length(whole(F.col("text"))).cast("long")})
+def _order(*last: str):
+    return F.struct((-F.col("_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), *last)
 
 
-def _order():
-    return F.struct((-F.col("_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"))
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, _chars, text_sha256, _at), stored; _at tells rows apart that are equal in all else."""
+    slim = _keyed(docs.select("doc_id", "text")).select("doc_id", "_chars", "text_sha256")
+    return stage(slim.withColumn("_at", F.monotonically_increasing_id()), "digests")
 
 
-def winners(keyed: DataFrame) -> DataFrame:
-    """At most CANDIDATES rows: frequent digests with exact group size and the row that stays."""
-    found = keyed.agg(F.expr(f"approx_top_k(text_sha256, {CANDIDATES}, {COUNTERS})").alias("top"))
-    suspects = found.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256"))
-    exact = keyed.join(F.broadcast(suspects), "text_sha256").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_n"), F.min(_order()).alias("_best"))
-    return stage(exact.filter("_n > 1").select("text_sha256", "_n", "_best"), "heavy")
+def winners(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text_sha256, _n, _best) of the frequent digests, at most CANDIDATES, and of all others that occur twice or more."""
+    found = slim.agg(F.expr(f"approx_top_k(text_sha256, {CANDIDATES}, {COUNTERS})").alias("top"))
+    suspects = F.broadcast(found.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256")))
+    best = (F.count(F.lit(1)).alias("_n"), F.min(_order("_at")).alias("_best"))
+    heavy = stage(slim.join(suspects, "text_sha256").groupBy("text_sha256").agg(*best).filter("_n > 1"), "heavy")
+    light = slim.join(F.broadcast(heavy), "text_sha256", "left_anti").groupBy("text_sha256").agg(*best).filter("_n > 1")
+    return heavy, stage(light, "light")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """``doc_id`` of every row with keep_id, group_size, kept and text_sha256; texts are left behind."""
-    slim = stage(_keyed(docs).select("doc_id", "_chars", "text_sha256"), "digests")
-    heavy = F.broadcast(winners(slim))
-    by = Window.partitionBy("text_sha256")
-    first = F.row_number().over(by.orderBy(F.desc("_chars"), F.asc_nulls_last("doc_id"))) == 1
-    light = slim.join(heavy, "text_sha256", "left_anti").withColumns({"_n": F.count(F.lit(1)).over(by), "_best": F.min(_order()).over(by), "kept": first})
-    tagged = slim.join(heavy, "text_sha256").withColumn("_win", F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_chars") == -F.col("_best.c")))
-    lost = tagged.filter("not _win").withColumn("kept", F.lit(False))
-    won = tagged.filter("_win").withColumn("kept", first)
-    cols = ["doc_id", F.col("_best.id").alias("keep_id"), F.col("_n").alias("group_size"), "kept", "text_sha256"]
-    return light.select(cols).unionByName(lost.select(cols)).unionByName(won.select(cols))
+    slim = digests(docs)
+    heavy, light = winners(slim)
+    heavy = F.broadcast(heavy)
+    rest = slim.join(heavy, "text_sha256", "left_anti").join(light, "text_sha256", "left")
+    every = slim.join(heavy, "text_sha256").unionByName(rest)
+    alone = F.col("_n").isNull()
+    return every.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_best.id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("_at") == F.col("_best._at"))).alias("kept"), "text_sha256",
+    )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows that stay, as they came. Copies of frequent texts go before the shuffle."""
-    keyed = _keyed(docs.select("doc_id", "text", F.struct("*").alias("_row")))
-    heavy = F.broadcast(winners(stage(keyed.select("doc_id", "_chars", "text_sha256"), "digests")))
-    loses = F.col("_best").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_chars") == -F.col("_best.c")))
-    rest = keyed.drop("text").join(heavy, "text_sha256", "left").filter(~loses)
-    rank = F.row_number().over(Window.partitionBy("text_sha256").orderBy(F.desc("_chars"), F.asc_nulls_last("doc_id")))
-    return rest.withColumn("_rank", rank).filter("_rank = 1").select("_row.*")
+    """The rows that stay, as they came: copies go where they are read, by what is known of their digests."""
+    slim = digests(docs)
+    heavy, light = winners(slim)
+    both = stage(heavy.unionByName(light).select("text_sha256", F.col("_best").alias("_b")), "repeated")
+    # How many rows tie with the winner in digest, length and id: only of those one more choice is to be made.
+    tied = slim.join(F.broadcast(heavy), "text_sha256", "left_anti").join(light, "text_sha256").unionByName(slim.join(F.broadcast(heavy), "text_sha256"))
+    same = (F.col("_chars") == -F.col("_best.c")) & F.col("doc_id").eqNullSafe(F.col("_best.id"))
+    ties = stage(tied.filter(same).groupBy("text_sha256").count().filter("count > 1").select("text_sha256"), "ties")
+    packed = _keyed(docs.select("doc_id", "text", F.struct("*").alias("_row"))).drop("text")
+    wins = F.col("_b").isNull() | ((F.col("_chars") == -F.col("_b.c")) & F.col("doc_id").eqNullSafe(F.col("_b.id")))
+    marked = heavy.select("text_sha256", F.col("_best").alias("_b"))
+    if both.limit(1).count():
+        table = small(both)
+        if table is both:  # too many to broadcast: the frequent ones go first all the same
+            packed = packed.join(F.broadcast(marked), "text_sha256", "left").filter(wins).drop("_b")
+        packed = packed.join(table, "text_sha256", "left").filter(wins)
+    forget(slim, light)
+    if ties.isEmpty():
+        return packed.select("_row.*")
+    ties = small(ties)
+    once = packed.join(ties, "text_sha256", "left_anti").select("_row.*")
+    return once.unionByName(one_of_equals(packed.join(ties, "text_sha256", "left_semi"), "text_sha256", "_row").select("_row.*"))
 
 
 ORACLE = r"""

@@ -5,15 +5,18 @@ with radius 3, so its 4096 x 4096 pairs of code words are the anchors. A fingerp
 nearest anchor, and it is replicated to every anchor within the radius plus the threshold, where the
 threshold's ``BITS`` are shared out over the blocks. Of two fingerprints that differ in at most
 ``BITS`` bits each is replicated to the other's home, so homes compared with replicas, anchor by
-anchor, find every link. Where very many homes meet at one anchor, the 15 bits after the blocks are a
-third one under the perfect Hamming code of radius 1, which splits that anchor 2048-fold.
+anchor, find every link. Where more than ``CROWD`` homes meet at one anchor, the 15 bits after the blocks are a
+third one under the perfect Hamming code of radius 1, which splits that anchor 2048-fold. With more than
+``CROWDS`` such anchors, all anchors have the third block: 2^35 of them. Links are the same in each case.
 
 Only distinct fingerprints are compared, and each anchor reports a spanning forest of its links.
 Components come from alternating large-star and small-star rounds over written tables.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; rows with a
 null ``doc_id`` get a component but never name it (null if all ids of it are null); repeated rows share
-a fingerprint and a component; an empty table gives an empty result.
+a fingerprint and a component, and ``near_dedup`` keeps one of them; rows of one id with different texts are
+rows of their own; very long texts are hashed as a whole; of an empty table the result is empty; other
+columns are left behind by ``near_groups`` and pass through ``near_dedup`` under any name.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytemill.llm.graph import components
-from bytemill.plans.scratch import stage
+from bytemill.llm.rows import KEY, one_of_equals, row_key, small
+from bytemill.plans.scratch import finish, forget, stage
 
 BITS = 2
 SEED = 42
-#: Homes at one anchor from which it is split by the third block, and how many such anchors are broadcast.
+#: Homes at one anchor from which it is split by the third block, and how many such anchors are listed at most.
 CROWD, CROWDS = 512, 4096
 #: Fingerprints that many rows share, whose component is broadcast.
 HEAVY = 512
@@ -56,10 +60,10 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * up > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(text: Column) -> Column:
+def fingerprints(text: Column, width: int = 3) -> Column:
     @F.arrow_udf("long")
     def each(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t or b"") for t in texts.to_pylist()], np.uint64).view(np.int64))
+        return pa.array(np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     return each(text.cast("string").cast("binary"))
 
@@ -118,8 +122,8 @@ def homes(fps: np.ndarray) -> np.ndarray:
     return a.words(*a.of(fps), 0)[1] | b.words(*b.of(fps), 0)[1] << np.uint64(23)
 
 
-def replicas(fps: np.ndarray, crowded: np.ndarray):
-    """(anchor, cell, row, is home): cell is the third code word at crowded anchors, elsewhere 0."""
+def replicas(fps: np.ndarray, crowded: np.ndarray | None):
+    """(anchor, cell, row, is home): cell is the third code word at crowded anchors (None: at all), elsewhere 0."""
     a, b, c = blocks()
     (pa_, sa), (pb, sb), (pc, sc) = a.of(fps), b.of(fps), c.of(fps)
     for x in range(BITS + 1):
@@ -127,7 +131,7 @@ def replicas(fps: np.ndarray, crowded: np.ndarray):
             row, first = a.words(pa_, sa, x)
             again, second = b.words(pb[row], sb[row], y)
             row, anchor = row[again], first[again] | second << np.uint64(23)
-            dense = np.isin(anchor, crowded)
+            dense = np.isin(anchor, crowded) if crowded is not None else np.ones(len(anchor), bool)
             yield anchor[~dense], np.zeros(int((~dense).sum()), np.uint64), row[~dense], np.full(int((~dense).sum()), x + y == 0)
             if dense.any():
                 row, anchor = row[dense], anchor[dense]
@@ -233,7 +237,9 @@ def linked(distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"home": homes(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)})
 
     at = distinct.select("fp").mapInArrow(home_rows, "home long").groupBy("home").count()
-    crowds = np.array([r["home"] for r in at.filter(F.col("count") > CROWD).orderBy(F.desc("count"), "home").limit(CROWDS).collect()], np.int64).view(np.uint64)
+    found = [r["home"] for r in at.filter(F.col("count") > CROWD).select("home").limit(CROWDS + 1).collect()]
+    # With more crowded anchors than may be listed, all are split: the code grows with the fingerprints.
+    crowds = np.array(found, np.int64).view(np.uint64) if len(found) <= CROWDS else None
 
     def copies(batches):
         for batch in batches:
@@ -248,22 +254,44 @@ def linked(distinct: DataFrame) -> DataFrame:
     return spread.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(_compare, "u long, v long")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row; texts are left behind."""
-    fps = stage(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints")
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
+def _grouped(fps: DataFrame, *best) -> DataFrame:
+    """(fp, n, least and more), stored: every distinct fingerprint with the best of ``best`` in its component."""
+    names = [f"_{k}" for k in range(len(best))]
+    distinct = stage(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), *[b.alias(c) for b, c in zip(best, names, strict=True)]), "distinct")
     joined = components(linked(distinct))  # v, u: fingerprint and the least one that it reaches
     member = joined.select(F.col("v").alias("fp"), F.col("u").alias("root")).unionByName(joined.select(F.col("u").alias("fp"), F.col("u").alias("root")).distinct())
-    member = stage(member.join(distinct.select("fp", "id"), "fp"), "members")
-    roots = member.groupBy("root").agg(F.min("id").alias("least"))
-    found = stage(distinct.join(member.join(roots, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "id").alias("component_id")), "found")
-    heavy = F.broadcast(stage(found.orderBy(F.desc("n"), "fp").limit(HEAVY).select("fp", "component_id"), "heavy"))
+    member = stage(member.join(distinct, "fp"), "members")
+    roots = member.groupBy("root").agg(F.sum("n").alias("_n"), *[F.min(c).alias(f"{c}r") for c in names])
+    own = member.select("fp", "root").join(roots, "root").drop("root")
+    out = distinct.join(own, "fp", "left").select("fp", F.col("n").alias("copies"), F.coalesce("_n", "n").alias("n"), *[F.coalesce(f"{c}r", c).alias(c) for c in names])
+    return finish(out, "found", distinct, joined, member)
+
+
+def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row; texts are left behind."""
+    fps = stage(docs.select("doc_id", fingerprints(F.col("text"), width).alias("fp")), "fingerprints")
+    found = _grouped(fps, F.min("doc_id")).withColumnRenamed("_0", "component_id")
+    heavy = F.broadcast(stage(found.orderBy(F.desc("copies"), "fp").limit(HEAVY).select("fp", "component_id"), "heavy"))
     frequent = fps.join(heavy, "fp")
     rest = fps.join(heavy, "fp", "left_anti").join(found.select("fp", "component_id"), "fp")
     return frequent.unionByName(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of the smallest id; rows with a null id stay."""
-    gone = near_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of each component, as it came: the one of the smallest id (null last), then by a key of id and text."""
+    key = row_key(F.col("doc_id"), F.col("text"))
+    fps = stage(docs.select("doc_id", key.alias(KEY), fingerprints(F.col("text"), width).alias("fp")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col(KEY).alias("k"))
+    found = _grouped(fps, F.min(order)).filter("n > 1").select("fp", F.col("_0.k").alias("_stays"))
+    rivals = stage(fps.join(small(stage(found, "crowded")), "fp").select(KEY, (F.col(KEY) == F.col("_stays")).alias("stays")), "rivals")
+    gone = stage(rivals.filter("not stays").select(KEY).distinct(), "gone")
+    twice = stage(rivals.filter("stays").groupBy(KEY).count().filter("count > 1").select(KEY), "twice")
+    packed = docs.select(key.alias(KEY), F.struct("*").alias("_row"))
+    forget(fps, found, rivals)
+    if not gone.isEmpty():
+        packed = packed.join(small(gone), KEY, "left_anti")
+    if twice.isEmpty():
+        return packed.select("_row.*")
+    twice = small(twice)
+    once = packed.join(twice, KEY, "left_anti").select("_row.*")
+    return once.unionByName(one_of_equals(packed.join(twice, KEY, "left_semi"), KEY, "_row").select("_row.*"))
