@@ -9,7 +9,8 @@ its length: ranks within hash buckets of ids plus the counts of the buckets befo
 a third of all rows share is spread over all buckets.
 
 Defined cases: a null text is empty and becomes the end id alone; equal rows are interchangeable and
-each gets a place; an empty table gives no sequences; a null id is a bucket like any other.
+each gets a place; an empty table gives no sequences; a null id is a bucket like any other; a very long
+text becomes as many pieces as it needs; other columns of the input are left behind.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ from bytemill.plans.scratch import stage
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker keeps; all are forgotten when there are more.
-REMEMBERED = 1_500_000
+#: Bytes of words and their ids that a worker keeps, all of which go when there are more, and what a word costs beside.
+REMEMBERED, WORD_COST = 40 << 20, 160
+#: Texts and pieces that a worker holds as objects at a time, in bytes.
+HELD = 4 << 20
 BUCKET_ROWS = 100_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,20 +42,21 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, by way of its words.
 
     The vocabulary's rules never join what ASCII white space separates, so a text's ids are those of
-    its words in a row. A text that holds the start of a special token is encoded as a whole.
+    its words in a row; each distinct word goes through the tokenizer as it is. A text that holds the
+    start of a special token is encoded as a whole.
     """
 
-    kept: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, 0
 
     @classmethod
+    @cache
     def at(cls, path: str) -> Encoder:
-        return cls.kept.setdefault(path, None) or cls.kept.__setitem__(path, cls(path)) or cls.kept[path]
+        """The worker's own; its words are forgotten at the end of every partition."""
+        return cls(path)
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
@@ -59,8 +64,8 @@ class Encoder:
         words = text.split()
         ids = list(map(self.known.get, words))
         if None in ids:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            if self.held > REMEMBERED:
+                self.forget()
                 self.learn(set(words))
             else:
                 self.learn({w for w, x in zip(words, ids, strict=True) if x is None})
@@ -68,16 +73,15 @@ class Encoder:
         return b"".join(ids)
 
     def learn(self, new: set[bytes]) -> None:
-        parts = {}
-        for w in new:
-            low = w.lower()
-            ends = low[-1:] in (b".", b",") and low[:-1].decode().isalpha()
-            parts[w] = (low[:-1], low[-1:]) if ends else (low, b"")
-        todo = [w for w in {x for p in parts.values() for x in p} if w not in self.known]
-        for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.known[core] + self.known[tail]
+        todo = list(new)
+        for lo in range(0, len(todo), 4096):
+            some = todo[lo : lo + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.known[w] = ids = array("I", e.ids).tobytes()
+                self.held += len(w) + len(ids) + WORD_COST
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -85,17 +89,26 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
 
     def cut(batches):
         encoder = Encoder.at(tokenizer)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + keep_ids]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+
+        def made(rows: list) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or b"") + END_ID.to_bytes(4, "little")
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = encoder.encode(text.as_py() or b"") + END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else ())))
-            cols = list(zip(*rows, strict=True)) or [()] * (5 + keep_ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names[: len(cols)])
+                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else ())))
+                held += len(ids) if keep_ids else 100
+                if held > HELD:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
+        encoder.forget()
 
     text = F.col("text").cast("string").cast("binary")
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(cut, SCHEMA + ", ids binary" * keep_ids)
@@ -185,7 +198,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select(F.col("length").alias("_l"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     inside = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = dealt.withColumn("_rank", inside).join(ahead, (F.col("_bucket") == F.col("_b")) & (F.col("length") == F.col("_l")))
+    ranked = dealt.withColumn("_rank", inside).join(ahead.hint("merge"), (F.col("_bucket") == F.col("_b")) & (F.col("length") == F.col("_l")))
 
     @F.arrow_udf("struct<s: long, o: long>")
     def spot(length: pa.Array, rank: pa.Array) -> pa.Array:
