@@ -3,15 +3,17 @@
 A text becomes a vector of ``DIMS`` hashed byte trigrams over lower-cased letters (all else counts as a
 blank), weighted by the square root of the count times the inverse document frequency, of length one.
 Document frequencies cover every training row; several centroids per language come from spherical
-k-means over a sample of at most about ``SAMPLE`` labelled rows, drawn by the hash of the id. The
+k-means over a sample of about ``SAMPLE`` labelled rows, drawn by the hash of id and text. The
 prediction is the language of the centroid with the largest cosine, and the score is that cosine. A
 text is rejected if its cosine is below ``SLACK`` times the ``QUANTILE`` of the cosines of all training
 rows of its length (by powers of two of the trigrams; lengths with fewer than ``POOL`` rows take the
 shorter ones in, whose cosines are lower, and texts shorter than all training rows are not rejected).
 
 Defined cases: a null text and a text without a letter get ``und`` and score 0 and are rejected; a tie
-goes to the first language by name; with no labelled row every text is ``und``; a null id hashes as
-the empty string; rows that repeat are predicted alike; very long texts are counted in blocks.
+goes to the first language by name; with no labelled row every text is ``und``; a null id is held out as
+the empty string is, and drawn by its text; rows that repeat are predicted alike and drawn once; only the
+``LANGUAGES`` most frequent languages are learned; very long texts are counted in blocks; an empty table
+gives an empty result; columns that clash with the result's are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytemill.llm.text import fraction, whole
+from bytemill.llm.rows import drawn
+from bytemill.llm.text import whole
 
 DIMS = 4096
-SAMPLE = 2400
+#: Rows that the centroids are fitted on, about, and two times as many at most; languages that are learned at most.
+SAMPLE, LANGUAGES = 2400, 1000
 CENTROIDS = 3
 QUANTILE = 0.001
 SLACK = 0.75
@@ -120,7 +124,8 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """From columns doc_id, text and lang; rows without a language take no part."""
     rows = labelled.filter("lang is not null").select("doc_id", "text", "lang")
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    per = {r["lang"]: r["count"] for r in per}
     most = max(20, sample // max(1, len(per)))
 
     def frequencies(batches):
@@ -133,20 +138,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     df = np.zeros(DIMS)
     for r in rows.select("text").mapInArrow(frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # DIMS rows
         df[r["f"]] = r["n"]
-    idf = (np.log((1 + sum(per.values())) / (1 + df)) + 0.05).astype(np.float32)
+    idf = (np.log((1 + rows.count()) / (1 + df)) + 0.05).astype(np.float32)
 
     def vectors(batches):
         for batch in batches:
             for k, flat, starts in _batches(batch.column(0)):
                 tf = counts(flat, starts)
-                yield pa.RecordBatch.from_pydict({"lang": batch.column(1).slice(k, len(tf)), "tf": pa.array([x.astype(np.float32).tobytes() for x in tf], pa.binary())})
+                some = slice(k, k + len(tf))
+                yield pa.RecordBatch.from_pydict({"lang": batch.column(1)[some], "u": batch.column(2)[some], "tf": pa.array([x.astype(np.float32).tobytes() for x in tf], pa.binary())})
 
-    share = F.lit(0.0)
-    for lang, n in sorted(per.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / n))).otherwise(share)
-    drawn = rows.filter(fraction("langid", F.col("doc_id")) < share).select("text", "lang").mapInArrow(vectors, "lang string, tf binary").collect()
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, most / n)) for k, n in per.items()], "lang string, share double")
+    some = drawn(rows.join(F.broadcast(shares), "lang"), "langid", F.col("share")).select("text", "lang", "_u")
+    first = some.mapInArrow(vectors, "lang string, u double, tf binary").orderBy("u").limit(2 * max(sample, 20 * len(per)))
     of: dict[str, list] = {}
-    for r in sorted(drawn, key=lambda r: (r["lang"], r["tf"])):
+    for r in sorted(first.collect(), key=lambda r: (r["lang"], r["tf"])):
         of.setdefault(r["lang"], []).append(np.frombuffer(r["tf"], np.float32))
     names, found = [], []
     for lang, tfs in sorted(of.items()):

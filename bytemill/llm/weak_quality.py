@@ -3,13 +3,15 @@
 Overlapping heuristics vote good, bad or abstain on every text. Expectation-maximisation estimates each
 one's accuracies (the chances of its votes given the unseen quality) from the counts of vote patterns
 over all documents, of which there are at most three to the number of heuristics. The posterior
-probability of good quality then labels a sample of at most about ``SAMPLE`` documents, drawn by the
-hash of the id, on which a linear scorer over hashed byte trigrams and hashed heuristics is fitted.
-Every document is scored; one is kept from ``KEEP_FROM`` on.
+probability of good quality then labels a sample of about ``SAMPLE`` documents (two times as many at
+most), drawn by the hash of id and text, on which a linear scorer over hashed byte trigrams and hashed
+heuristics is fitted. Every document is scored; one is kept from ``KEEP_FROM`` on.
 
 Defined cases: a null text is empty, all heuristics abstain on it and it has score and posterior 0; a
 table in which no votes differ falls back to the prior; a null id hashes as the word null; repeated rows
-score alike; clashing columns are replaced.
+score alike and are drawn once; patterns that cast as many votes either way start as good, and the order
+of rows never matters; very long texts are measured whole and counted in blocks; an empty table gives an
+empty result; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from bytemill.llm.langid import DIMS, _batches, counts
 from bytemill.llm.quality_rules import STOP_WORDS
-from bytemill.llm.text import fraction
+from bytemill.llm.rows import drawn
 
 SAMPLE = 3000
 KEEP_FROM = 0.4
@@ -122,8 +124,8 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def tally(batches):
         seen: dict[str, int] = {}
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                k = "".join(map(str, votes(measures(t))))
+            for t in batch.column(0):
+                k = "".join(map(str, votes(measures(t.as_py()))))
                 seen[k] = seen.get(k, 0) + 1
         yield pa.RecordBatch.from_pydict({"k": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
@@ -133,13 +135,14 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def pick(batches):
         for batch in batches:
-            for _, x, found in _vectors(batch.column(0)):
-                yield pa.RecordBatch.from_pydict({"x": pa.array([v.tobytes() for v in x], pa.binary()), "y": pa.array([posterior.get(votes(m), 0.5) for m in found])})
-
-    drawn = docs.filter(fraction("quality", F.col("doc_id")) < share).select(text.alias("t")).mapInArrow(pick, "x binary, y double").collect()
-    drawn = sorted(drawn, key=lambda r: r["x"])
-    some = np.frombuffer(b"".join(r["x"] for r in drawn), np.float32).reshape(-1, DIMS + EXTRA)
-    weights = fit_linear(some, np.array([r["y"] for r in drawn])) if drawn else np.zeros(DIMS + EXTRA + 1)
+            for k, x, found in _vectors(batch.column(0)):
+                yield pa.RecordBatch.from_pydict({"u": batch.column(1)[k : k + len(x)], "x": pa.array([v.tobytes() for v in x], pa.binary()), "y": pa.array([posterior.get(votes(m), 0.5) for m in found])})
+
+    few = drawn(docs.select("doc_id", "text"), "quality", F.lit(share)).select(text.alias("t"), "_u")
+    few = few.mapInArrow(pick, "u double, x binary, y double").orderBy("u").limit(2 * sample).collect()
+    few = sorted(few, key=lambda r: r["x"])
+    some = np.frombuffer(b"".join(r["x"] for r in few), np.float32).reshape(-1, DIMS + EXTRA)
+    weights = fit_linear(some, np.array([r["y"] for r in few])) if few else np.zeros(DIMS + EXTRA + 1)
 
     @F.arrow_udf("struct<p: double, s: double>")
     def rate(texts: pa.Array) -> pa.Array:
