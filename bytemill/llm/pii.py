@@ -8,7 +8,9 @@ that ``examples`` generates from a fixed seed. Spans of the patterns always stay
 added where it meets none of them.
 
 Defined cases: a null text is empty and has no span; other null columns do not matter; repeated rows get
-equal results; long texts are worked on as a whole, in time that grows with their length.
+equal results; of segmentations that score alike the first found stays, which has fewer and shorter spans;
+very long texts are worked on as a whole, in time that grows with their length; an empty table gives an
+empty result; columns that clash with the result's are replaced.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _shape(s: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", s[:48]))))[:14]
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", s))))
 
 
 def features(text: str, a: int, b: int, tokens: int, before: str) -> list[str]:
@@ -138,10 +140,24 @@ def islands(text: str):
         yield run
 
 
+def _words_before(text: str, at: int, n: int = 2) -> list[str]:
+    """The last n words that end before ``at``, in order."""
+    out: list[str] = []
+    while len(out) < n:
+        while at and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        if at == end:
+            break
+        out.append(text[at:end])
+    return out[::-1]
+
+
 def _lattice(text: str, run: list[tuple[int, int]]):
     """(first token, one past the last, start, end, features) of every candidate span of the run."""
-    head = text[max(0, run[0][0] - 64) : run[0][0]].split()
-    words = [w.strip(_EDGES) for w in head[-2:]] + [text[a:b].strip(_EDGES) for a, b in run]
+    words = [w.strip(_EDGES) for w in _words_before(text, run[0][0])] + [text[a:b].strip(_EDGES) for a, b in run]
     lead = len(words) - len(run)
     for i in range(len(run)):
         back = [w for w in words[max(0, lead + i - 2) : lead + i] if w]
@@ -268,20 +284,20 @@ def _written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Adds n_email, n_ip, n_card, n_phone and base_sha256 of the patterns, and all spans; clashing columns are replaced."""
+    """Adds n_email, n_ip, n_card, n_phone and base_sha256 of the patterns, all spans and their number; clashing columns are replaced."""
     weights = trained()
 
-    @F.arrow_udf("struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string>")
+    @F.arrow_udf("struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_spans: long>")
     def look(texts: pa.Array) -> pa.Array:
         rows = []
-        for t in texts.to_pylist():
-            fixed, every = find(t or "", weights)
+        for t in texts:
+            fixed, every = find(t.as_py() or "", weights)
             base = _written([(k, a, b) for k in BASE for a, b in fixed[k]])
-            rows.append((*(len(fixed[k]) for k in BASE), hashlib.sha256(base.encode()).hexdigest(), _written(every)))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            rows.append((*(len(fixed[k]) for k in BASE), hashlib.sha256(base.encode()).hexdigest(), _written(every), len(every)))
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
     out = docs.drop(*names).withColumn("_p", look(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return out.withColumns({n: F.col(f"_p.{n}") for n in names}).drop("_p")

@@ -91,8 +91,8 @@ def gather(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             held = batch.column(0).to_numpy(zero_copy_only=False)
-            for text, out in zip(batch.column(1).to_pylist(), held, strict=True):
-                (other if out else trained).update(text.lower().split())
+            for text, out in zip(batch.column(1), held, strict=True):
+                (other if out else trained).update(text.as_py().lower().split())
             for _, flat, starts in _batches(batch.column(1).filter(pa.array(~held))):
                 for _, key in windows(*marked(flat, starts)):
                     grams.append(np.unique(key, return_counts=True))
@@ -411,8 +411,8 @@ def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP, rows: int = R
         kept, trie = shared.value.kept, shared.value.trie
         for batch in batches:
             out = []
-            for one in batch.column(2).to_pylist():
-                each = one.lower().split()
+            for one in batch.column(2):
+                each = one.as_py().lower().split()
                 values = list(map(kept.get, each))
                 rare = [w for w, x in zip(each, values, strict=True) if x is None]
                 sure = np.array([x for x in values if x is not None])

@@ -5,7 +5,10 @@ sorting the windows' 64-bit hashes inside the row, and only in texts whose hashe
 no row leaves its partition.
 
 Defined cases: a null text has no words and fails the base rule; a division by zero words or lines
-counts as ratio 0; other null columns pass through; columns that clash with the result's are replaced.
+counts as ratio 0; a ratio at a threshold passes; other null columns pass through; repeated rows get equal
+results; very long texts are measured whole, in time of n log n windows; an empty table gives an empty
+result; columns that clash with the result's are replaced. A text in a language without stop words in the
+list fails that rule.
 """
 
 from __future__ import annotations
@@ -56,13 +59,13 @@ def _repeated(hashes: Column) -> Column:
     return let(hashes, search)
 
 
-def measures(docs: DataFrame) -> DataFrame:
+def measures(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     """The rows with every count that the rules use, n_lines and n_stop among them."""
     text = whole(F.col("text"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     per_words = let(words(F.col("text")), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(list(stop_words)))).cast("long").alias("n_stop"),
         _repeated(F.transform(w, lambda x: F.xxhash64(x))).alias("n_repeat_words"),
     ))
     per_lines = let(lines, lambda a: F.struct(F.size(a).cast("long").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines")))
@@ -85,8 +88,9 @@ def verdict(measured: DataFrame, rules=RULES) -> DataFrame:
     return measured.withColumn("base_failed", base).withColumn("kept", ~base & good)
 
 
-def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
-    return verdict(measures(docs), rules)
+def quality_rules(docs: DataFrame, rules=RULES, stop_words=STOP_WORDS) -> DataFrame:
+    """The rows with ADDED; for languages beyond those of STOP_WORDS, pass their words or rules without that ratio."""
+    return verdict(measures(docs, stop_words), rules)
 
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)

@@ -11,7 +11,6 @@ from bytemill.plans.scratch import put_on_path, stage
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     put_on_path(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: a few MB a batch
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -26,7 +25,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = stage(mixing.sized(documents(spark, sf_dir)).select("doc_id", "source", "size"), "sized")
+    slim = stage(mixing.sized(documents(spark, sf_dir)).select("doc_id", "source", "size", "_draw"), "sized")
     return mixing.with_copies(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -39,7 +38,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
