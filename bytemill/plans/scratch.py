@@ -18,10 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or os.path.join(tempfile.gettempdir(), "bytemill-scratch")).rstrip("/")
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of what was written."""
+def stage(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of what was written; ``few``: rows that fit one file by a proven bound."""
     path = f"{shared_dir(df.sparkSession)}/bytemill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(1) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
