@@ -47,13 +47,19 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def winners(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(text_sha256, _n, _best) of the frequent digests, at most CANDIDATES, and of all others that occur twice or more."""
+    """(text_sha256, _n, _best) of the frequent digests, at most CANDIDATES, and of all others that occur twice or more.
+
+    _best.t counts the rows that tie with the winner in digest, length and id.
+    """
     found = slim.agg(F.expr(f"approx_top_k(text_sha256, {CANDIDATES}, {COUNTERS})").alias("top"))
     suspects = F.broadcast(found.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256")))
-    best = (F.count(F.lit(1)).alias("_n"), F.min(_order("_at")).alias("_best"))
-    heavy = stage(slim.join(suspects, "text_sha256").groupBy("text_sha256").agg(*best).filter("_n > 1"), "heavy")
-    light = slim.join(F.broadcast(heavy), "text_sha256", "left_anti").groupBy("text_sha256").agg(*best).filter("_n > 1")
-    return heavy, stage(light, "light")
+
+    def best(rows: DataFrame) -> DataFrame:
+        same = rows.groupBy("text_sha256", "_chars", "doc_id").agg(F.count(F.lit(1)).alias("t"), F.min("_at").alias("at"))
+        return same.groupBy("text_sha256").agg(F.sum("t").alias("_n"), F.min(_order("at", "t")).alias("_best")).filter("_n > 1")
+
+    heavy = stage(best(slim.join(suspects, "text_sha256")), "heavy", few=True)
+    return heavy, stage(best(slim.join(F.broadcast(heavy), "text_sha256", "left_anti")), "light")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     alone = F.col("_n").isNull()
     return every.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_best.id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("_at") == F.col("_best._at"))).alias("kept"), "text_sha256",
+        (alone | (F.col("_at") == F.col("_best.at"))).alias("kept"), "text_sha256",
     )
 
 
@@ -74,25 +80,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, as they came: copies go where they are read, by what is known of their digests."""
     slim = digests(docs)
     heavy, light = winners(slim)
-    both = stage(heavy.unionByName(light).select("text_sha256", F.col("_best").alias("_b")), "repeated")
-    # How many rows tie with the winner in digest, length and id: only of those one more choice is to be made.
-    tied = slim.join(F.broadcast(heavy), "text_sha256", "left_anti").join(light, "text_sha256").unionByName(slim.join(F.broadcast(heavy), "text_sha256"))
-    same = (F.col("_chars") == -F.col("_best.c")) & F.col("doc_id").eqNullSafe(F.col("_best.id"))
-    ties = stage(tied.filter(same).groupBy("text_sha256").count().filter("count > 1").select("text_sha256"), "ties")
-    packed = _keyed(docs.select("doc_id", "text", F.struct("*").alias("_row"))).drop("text")
-    wins = F.col("_b").isNull() | ((F.col("_chars") == -F.col("_b.c")) & F.col("doc_id").eqNullSafe(F.col("_b.id")))
-    marked = heavy.select("text_sha256", F.col("_best").alias("_b"))
-    if both.limit(1).count():
-        table = small(both)
-        if table is both:  # too many to broadcast: the frequent ones go first all the same
-            packed = packed.join(F.broadcast(marked), "text_sha256", "left").filter(wins).drop("_b")
-        packed = packed.join(table, "text_sha256", "left").filter(wins)
-    forget(slim, light)
-    if ties.isEmpty():
+    packed = _keyed(docs.select("doc_id", "text", F.struct("*").alias("_row"))).drop("text").withColumn("_tied", F.lit(False))
+    wins = F.col("_best").isNull() | ((F.col("_chars") == -F.col("_best.c")) & F.col("doc_id").eqNullSafe(F.col("_best.id")))
+    for known, table in ((heavy, F.broadcast(heavy)), (light, small(light))):
+        if not known.isEmpty():
+            packed = packed.join(table.drop("_n"), "text_sha256", "left").filter(wins)
+            packed = packed.withColumn("_tied", F.col("_tied") | F.coalesce(F.col("_best.t") > 1, F.lit(False))).drop("_best")
+    forget(slim)
+    if heavy.unionByName(light).filter("_best.t > 1").isEmpty():
         return packed.select("_row.*")
-    ties = small(ties)
-    once = packed.join(ties, "text_sha256", "left_anti").select("_row.*")
-    return once.unionByName(one_of_equals(packed.join(ties, "text_sha256", "left_semi"), "text_sha256", "_row").select("_row.*"))
+    one = one_of_equals(packed.filter("_tied"), "text_sha256", "_row")
+    return packed.filter("not _tied").select("_row.*").unionByName(one.select("_row.*"))
 
 
 ORACLE = r"""

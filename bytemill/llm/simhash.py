@@ -271,7 +271,7 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint and component_id of every row; texts are left behind."""
     fps = stage(docs.select("doc_id", fingerprints(F.col("text"), width).alias("fp")), "fingerprints")
     found = _grouped(fps, F.min("doc_id")).withColumnRenamed("_0", "component_id")
-    heavy = F.broadcast(stage(found.orderBy(F.desc("copies"), "fp").limit(HEAVY).select("fp", "component_id"), "heavy"))
+    heavy = F.broadcast(stage(found.orderBy(F.desc("copies"), "fp").limit(HEAVY).select("fp", "component_id"), "heavy", few=True))
     frequent = fps.join(heavy, "fp")
     rest = fps.join(heavy, "fp", "left_anti").join(found.select("fp", "component_id"), "fp")
     return frequent.unionByName(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
