@@ -30,8 +30,8 @@ from bytemill.plans.scratch import stage
 
 CAPACITY = 2048
 END_ID = 0
-#: Bytes of words and their ids that a worker keeps, all of which go when there are more, and what a word costs beside.
-REMEMBERED, WORD_COST = 40 << 20, 160
+#: Bytes of words and their ids that a worker keeps, in two halves by age, and what a word costs beside.
+REMEMBERED, WORD_COST = 64 << 20, 160
 #: Texts and pieces that a worker holds as objects at a time, in bytes.
 HELD = 4 << 20
 BUCKET_ROWS = 100_000
@@ -50,7 +50,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.known, self.older, self.held = Tokenizer.from_file(path), {}, {}, 0
 
     @classmethod
     @cache
@@ -64,24 +64,31 @@ class Encoder:
         words = text.split()
         ids = list(map(self.known.get, words))
         if None in ids:
-            if self.held > REMEMBERED:
-                self.forget()
-                self.learn(set(words))
-            else:
-                self.learn({w for w, x in zip(words, ids, strict=True) if x is None})
+            missing = {w for w, x in zip(words, ids, strict=True) if x is None}
+            if self.held > REMEMBERED // 2:  # words that come again move over from the older half, all others go
+                self.older, self.known, self.held, missing = self.known, {}, 0, set(words)
+            self.learn(missing)
             ids = map(self.known.__getitem__, words)
         return b"".join(ids)
 
     def learn(self, new: set[bytes]) -> None:
-        todo = list(new)
+        todo = []
+        for w in new:
+            if (ids := self.older.get(w)) is None:
+                todo.append(w)
+            else:
+                self.keep(w, ids)
         for lo in range(0, len(todo), 4096):
             some = todo[lo : lo + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = ids = array("I", e.ids).tobytes()
-                self.held += len(w) + len(ids) + WORD_COST
+                self.keep(w, array("I", e.ids).tobytes())
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + WORD_COST
 
     def forget(self) -> None:
-        self.known, self.held = {}, 0
+        self.known, self.older, self.held = {}, {}, 0
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
