@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import struct
-from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
+from bytemill.functions.hashing import flat_view
+
 
 class CorruptData(ValueError):
     """Bytes that no encoder wrote."""
@@ -195,57 +196,175 @@ class Genome:
 
 SAMPLED = 256 * 1024
 MOST_PATTERNS = 255
+#: Bytes whose patterns are counted together.
+TOGETHER = 1 << 21
 
 
 def least_frequent(data: bytes) -> int:
     return int(np.bincount(np.frombuffer(data, np.uint8), minlength=256).argmin())
 
 
-def count_patterns(data: bytes, least: int = 2, most: int = 8) -> Counter:
-    """Counts of all overlapping byte strings of 2 to 8 bytes in the first part of ``data``."""
-    b = np.frombuffer(data[:SAMPLED], np.uint8).astype(np.uint64)
-    found: Counter = Counter()
-    key = np.zeros(len(b), np.uint64)
-    for n in range(1, most + 1):
-        if len(b) < n:
-            break
-        key = (key[: len(b) - n + 1] << np.uint64(8)) | b[n - 1 :]
-        if n >= least:
-            keys, times = np.unique(key, return_counts=True)
-            for k, t in zip(keys[times > 3].tolist(), times[times > 3].tolist(), strict=True):
-                found[k.to_bytes(n, "big")] = t
-    return found
+def pattern_key(p: bytes) -> int:
+    """A pattern as a number, its first byte the highest."""
+    return int.from_bytes(p, "big")
+
+
+def _counted(blobs: list[bytes], most: int):
+    """(blob, length, pattern number, times) of strings of 3 to ``most`` bytes that a blob's first part holds four times or more.
+
+    Only places whose shorter string is that frequent are looked at again, so the longer lengths cost little.
+    """
+    flat, starts, lengths = flat_view([b[:SAMPLED] for b in blobs])
+    owner = np.repeat(np.arange(len(blobs)), lengths)
+    end = np.repeat(starts + lengths, lengths)
+    at, group = np.arange(len(flat)), owner * 256 + flat  # the string so far, as a number that is the same for equal ones
+    key = flat.astype(np.uint64)
+    for n in range(2, most + 1):
+        inside = at + n <= end[at]
+        at, group, key = at[inside], group[inside], key[inside]
+        if not len(at):
+            return
+        more = flat[at + n - 1]
+        key = key << np.uint64(8) | more
+        whole = group << 8 | more
+        order = np.argsort(whole)
+        ranked = whole[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(ranked)))
+        often = times >= 4
+        if n > 2:
+            own = order[first[often]]
+            yield owner[at[own]], np.full(len(own), n), key[own], times[often]
+        kept = np.repeat(often, times)
+        order, group = order[kept], (np.cumsum(new) - 1)[kept]
+        at, key = at[order], key[order]
+
+
+def choose_patterns(blob: np.ndarray, size: np.ndarray, key: np.ndarray, times: np.ndarray) -> dict[int, list[bytes]]:
+    """By blob, up to 255 patterns by what they save; ties: longer first, then by bytes."""
+    left = key << (np.uint64(8) * (8 - size).astype(np.uint64))
+    order = np.lexsort((left, -size, -(times * (size - 2)), blob))
+    blob, size, key = blob[order], size[order], key[order]
+    first = np.searchsorted(blob, blob)
+    kept = np.arange(len(blob)) - first < MOST_PATTERNS
+    out: dict[int, list[bytes]] = {}
+    for b, n, k in zip(blob[kept].tolist(), size[kept].tolist(), key[kept].tolist(), strict=True):
+        out.setdefault(b, []).append(k.to_bytes(n, "big"))
+    return out
+
+
+def build_genomes(blobs: list[bytes], most: int = 8) -> list[Genome]:
+    """A codebook for each blob; none for blobs under four bytes."""
+    out: list[Genome] = []
+    held: list[bytes] = []
+
+    def put() -> None:
+        parts = list(_counted(held, most))
+        found = choose_patterns(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else {}
+        out.extend(Genome(least_frequent(b), dict(enumerate(found.get(k, [])))) if len(b) >= 4 else Genome() for k, b in enumerate(held))
+        held.clear()
+
+    size = 0
+    for b in blobs:
+        held.append(b)
+        size += min(len(b), SAMPLED)
+        if size > TOGETHER:
+            put()
+            size = 0
+    put()
+    return out
 
 
-def choose_patterns(found: Counter) -> list[bytes]:
-    """Up to 255 patterns of at least four uses by what they save; ties: longer first, then by bytes."""
-    saving = [(t * (len(p) - 2), p) for p, t in found.items() if t >= 4 and len(p) > 2]
-    return [p for _, p in sorted(saving, key=lambda x: (-x[0], -len(x[1]), x[1]))[:MOST_PATTERNS]]
+def build_genome(data: bytes) -> Genome:
+    return build_genomes([data])[0]
 
 
-def build_genome(data: bytes) -> Genome:
-    if len(data) < 4:
-        return Genome()
-    return Genome(least_frequent(data), dict(enumerate(choose_patterns(count_patterns(data)))))
+@lru_cache(8)
+def _searched(patterns: tuple[tuple[int, bytes], ...]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """By falling length: the sorted pattern numbers and their codes. Of equal patterns the last code counts."""
+    by_size: dict[int, dict[int, int]] = {}
+    for code, p in patterns:
+        by_size.setdefault(len(p), {})[pattern_key(p)] = code
+    return [(n, np.array(sorted(t), np.uint64), np.array([t[k] for k in sorted(t)], np.uint8)) for n, t in sorted(by_size.items(), reverse=True)]
 
 
 def pattern_encode(data: bytes, genome: Genome) -> bytes:
     """Longest pattern first from the left; the escape byte itself becomes escape, 255."""
-    mark = bytes((genome.escape,))
-    swap = {p: mark + bytes((c,)) for c, p in genome.patterns.items()}
-    order = sorted(swap, key=len, reverse=True)
-    swap.setdefault(mark, mark + b"\xff")
-    seek = re.compile(b"|".join(map(re.escape, [*order, mark])), re.DOTALL)
-    return seek.sub(lambda m: swap[m[0]], data)
+    b = np.frombuffer(data, np.uint8)
+    n = len(b)
+    if not n:
+        return data
+    code, step = np.full(n, 255, np.uint8), np.zeros(n, np.uint8)
+    key, keys = b.astype(np.uint64), {}
+    for size in range(2, 9):
+        if size > n:
+            break
+        key = key[: n - size + 1] << np.uint64(8) | b[size - 1 :]
+        keys[size] = key
+    for size, known, codes in _searched(tuple(genome.patterns.items())):
+        if size == 1:
+            own = b.astype(np.uint64)
+        elif size in keys:
+            own = keys[size]
+        else:
+            continue
+        open_ = np.flatnonzero(step[: len(own)] == 0)
+        at = np.searchsorted(known, own[open_])
+        hit = known[np.minimum(at, len(known) - 1)] == own[open_]
+        step[open_[hit]], code[open_[hit]] = size, codes[at[hit]]
+    hits = step > 0
+    if hits.any():
+        reached = _taken(np.flatnonzero(hits), step)
+        lengths = step[reached].astype(np.int64)
+        cover = np.zeros(n + 1, np.int64)
+        np.add.at(cover, reached, 1)
+        np.add.at(cover, reached + lengths, -1)
+        inside = np.cumsum(cover[:n]) > 0
+    else:
+        reached, inside = np.zeros(0, np.int64), np.zeros(n, bool)
+    special = ~inside & (b == genome.escape)
+    special[reached] = True
+    code[~inside] = 255
+    keep = ~inside
+    keep[reached] = True
+    at = np.flatnonzero(keep)
+    two = special[at]
+    end = np.cumsum(1 + two)
+    out = np.empty(int(end[-1]), np.uint8)
+    out[end - 1] = np.where(two, code[at], b[at])
+    out[end[two] - 2] = genome.escape
+    return out.tobytes()
 
 
-def pattern_decode(data: bytes, genome: Genome) -> bytes:
-    mark = bytes((genome.escape,))
+def _taken(hits: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The hits that are used: the first, then always the first that begins behind the one before."""
+    ends = (hits + step[hits]).tolist()
+    out, past = [], 0
+    for k, at in enumerate(hits.tolist()):
+        if at >= past:
+            out.append(at)
+            past = ends[k]
+    return np.array(out, np.int64)
 
-    def back(m: re.Match) -> bytes:
-        code = m[1]
-        if code == b"\xff":
-            return mark
-        return genome.patterns.get(code[0], m[0]) if code else b""
 
-    return re.sub(re.escape(mark) + b"(.?)", back, data, flags=re.DOTALL)
+def pattern_decode(data: bytes, genome: Genome) -> bytes:
+    """An escape byte and the one behind it stand for a pattern; unknown codes stay, a last escape byte alone goes."""
+    b = np.frombuffer(data, np.uint8)
+    marks = np.flatnonzero(b == genome.escape)
+    if not len(marks):
+        return data
+    run = np.append(True, np.diff(marks) > 1)
+    begin = np.maximum.accumulate(np.where(run, np.arange(len(marks)), 0))
+    marks = marks[(np.arange(len(marks)) - begin) % 2 == 0]  # of escape bytes in a row, every other one is a code
+    table = [genome.patterns.get(c, bytes((genome.escape, c))) for c in range(256)]
+    table[255] = bytes((genome.escape,))
+    pool, start, size = flat_view(table)
+    length, source = np.ones(len(b), np.int64), np.arange(len(b))
+    whole = marks[marks + 1 < len(b)]
+    length[marks] = 0
+    codes = b[whole + 1]
+    length[whole], source[whole] = size[codes], len(b) + start[codes]
+    length[whole + 1] = 0
+    at = np.repeat(source - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    return np.concatenate([b, pool])[at].tobytes()

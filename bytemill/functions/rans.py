@@ -11,13 +11,15 @@ import struct
 import numpy as np
 
 from bytemill.functions.codecs import CorruptData
+from bytemill.functions.hashing import flat_view
 
 SCALE_BITS = 12
 SCALE = 1 << SCALE_BITS
 FLOOR = 1 << 23
 #: Strings up to this length are never tried with order 1.
 ORDER1_FROM = 4096
-LANES = 96
+#: Lanes up to which plain integers beat array steps, and bytes (tables counted in) that are worked on together.
+FEW, BLOCK = 24, 1 << 23
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -40,103 +42,178 @@ def _below(f: np.ndarray) -> np.ndarray:
 
 
 class _Lanes:
-    """Strings by falling length, so that those still running are always the first."""
+    """Strings by falling length in one flat array, so that those still running are always the first."""
 
     def __init__(self, blobs: list[bytes]):
         self.order = sorted(range(len(blobs)), key=lambda k: -len(blobs[k]))
         self.blobs = [blobs[k] for k in self.order]
-        self.length = np.array([len(b) for b in self.blobs], np.int64)
-        self.width = int(self.length.max(initial=0))
-        self.data = np.zeros((len(blobs), self.width), np.uint8)
-        for k, b in enumerate(self.blobs):
-            self.data[k, : len(b)] = np.frombuffer(b, np.uint8)
-
-    def running(self, at: int) -> int:
-        return int(np.searchsorted(-self.length, -at, side="left"))
+        self.flat, self.start, self.length = flat_view(self.blobs)
 
     def contexts(self) -> np.ndarray:
-        out = np.zeros_like(self.data)
-        out[:, 1:] = self.data[:, :-1]
+        """The byte before each; zero before the first."""
+        out = np.zeros(len(self.flat), np.uint8)
+        out[1:] = self.flat[:-1]
+        out[self.start[self.length > 0]] = 0
         return out
 
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.blobs)), self.length)
+
+
+def _running(length: np.ndarray, few: int) -> list[tuple[int, int, int]]:
+    """(from, to, lanes) of the stretches of steps while more than ``few`` lanes run; lengths are falling."""
+    out, at = [], 0
+    if len(length) > few:
+        for end in np.unique(np.minimum(length, length[few])).tolist():
+            if end > at:
+                out.append((at, end, int(np.searchsorted(-length, -at, side="left"))))
+                at = end
+    return out
+
+
+def _push(lanes: _Lanes, freq: np.ndarray, row: np.ndarray) -> list[bytes]:
+    """The coded bytes of every lane; row gives the table of each position of the flat array.
 
-def _push(lanes: _Lanes, freq: np.ndarray, below: np.ndarray, row: np.ndarray | None) -> list[bytes]:
-    """The coded bytes of every lane; row gives the table of each position, or None for one table a lane."""
+    All lanes take a step at once, from each one's last byte to its first. The long ones, while only FEW of them
+    run, are coded one by one: that is the end of their strings, which comes first.
+    """
     n = len(lanes.blobs)
+    below = _below(freq)
+    cell = row.astype(np.int64) * 256 + lanes.flat
+    of, under = freq.ravel().astype(np.int64)[cell], below.ravel().astype(np.int64)[cell]
+    stretches = _running(lanes.length, FEW)
+    floor = stretches[-1][1] if stretches else 0
     state = np.full(n, FLOOR, np.int64)
-    out = np.zeros((n, 2 * lanes.width + 8), np.uint8)
-    used = np.zeros(n, np.int64)
-    every = np.arange(n)
-    for at in range(lanes.width - 1, -1, -1):
-        k = lanes.running(at)
-        symbol = lanes.data[:k, at]
-        table = every[:k] if row is None else row[:k, at]
-        f, c = freq[table, symbol], below[table, symbol]
-        s = state[:k]
-        high = f << (23 - SCALE_BITS + 8)
-        while (full := np.flatnonzero(s >= high)).size:
-            out[full, used[full]] = s[full] & 255
-            used[full] += 1
-            s[full] >>= 8
-        state[:k] = (s // f << SCALE_BITS) + s % f + c
+    early = [b""] * n
+    for k in range(n):
+        if lanes.length[k] <= floor:
+            break
+        a, b = int(lanes.start[k]) + floor, int(lanes.start[k] + lanes.length[k])
+        out, x = bytearray(), FLOOR
+        for f, c in zip(of[a:b][::-1].tolist(), under[a:b][::-1].tolist(), strict=True):
+            high = f << 19
+            while x >= high:
+                out.append(x & 255)
+                x >>= 8
+            q, r = divmod(x, f)
+            x = (q << SCALE_BITS) + r + c
+        early[k], state[k] = bytes(out), x
+    room = 2 * np.minimum(lanes.length, floor) + 8
+    base = np.cumsum(room) - room
+    out, used = np.zeros(int(room.sum()), np.uint8), base.copy()
+    for lo, hi, k in reversed(stretches):
+        s, u, first = state[:k].copy(), used[:k].copy(), lanes.start[:k]
+        for at in range(hi - 1, lo - 1, -1):
+            pos = first + at
+            f = of[pos]
+            high = f << 19
+            for _ in range(2):  # a state below 2^31 is brought under any bound of 2^19 and more in two steps
+                over = s >= high
+                if not over.any():
+                    break
+                out[u[over]] = s[over] & 255
+                u += over
+                s = np.where(over, s >> 8, s)
+            q = s // f
+            s = (q << SCALE_BITS) + (s - q * f) + under[pos]
+        state[:k], used[:k] = s, u
     for shift in (0, 8, 16, 24):
-        out[every, used] = state >> shift & 255
+        out[used] = state >> shift & 255
         used += 1
-    return [out[k, : used[k]].tobytes() for k in range(n)]
+    raw = out.tobytes()
+    return [e + raw[a:b] for e, a, b in zip(early, base.tolist(), used.tolist(), strict=True)]
 
 
 def _pull(coded: list[bytes], sizes: list[int], freq: np.ndarray, row0: np.ndarray, chain: np.ndarray | None) -> list[bytes]:
     """Decode lanes; row0 is the first table of each lane, chain[lane, byte] the table after that byte."""
-    order = sorted(range(len(coded)), key=lambda k: -sizes[k])
-    size = np.array([sizes[k] for k in order], np.int64)
-    width = int(size.max(initial=0))
+    order = np.argsort(-np.array(sizes, np.int64), kind="stable")
+    size = np.array(sizes, np.int64)[order]
     n = len(order)
-    long = max((len(c) for c in coded), default=0)
-    raw = np.zeros((n, long + 1), np.uint8)
-    left = np.zeros(n, np.int64)
-    for j, k in enumerate(order):
-        raw[j, : len(coded[k])] = np.frombuffer(coded[k], np.uint8)
-        left[j] = len(coded[k])
+    flat, start, length = flat_view([coded[k] for k in order])
+    flat = np.append(flat, np.uint8(0)).astype(np.int64)
+    left = start + length
     state = np.zeros(n, np.int64)
-    every = np.arange(n)
     for _ in range(4):
         left -= 1
-        state = state << 8 | raw[every, left]
+        state = state << 8 | flat[left]
+    symbol_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(freq)), freq.ravel())
     below = _below(freq)
-    symbol_of = np.zeros((len(freq), SCALE), np.uint8)
-    for t, f in enumerate(freq):
-        symbol_of[t] = np.repeat(np.arange(256, dtype=np.uint8), f)
-    table = row0[order]
+    wide, low = freq.ravel(), below.ravel()
+    table = row0[order].copy()
     own = chain[order] if chain is not None else None
-    out = np.zeros((n, width), np.uint8)
-    for at in range(width):
-        k = int(np.searchsorted(-size, -at, side="left"))
-        s, t = state[:k], table[:k]
-        if (t < 0).any():
-            raise CorruptData("context without a table")
-        slot = s & (SCALE - 1)
-        symbol = symbol_of[t, slot]
-        out[:k, at] = symbol
-        s = freq[t, symbol] * (s >> SCALE_BITS) + slot - below[t, symbol]
-        while (low := np.flatnonzero((s < FLOOR) & (left[:k] > 0))).size:
-            left[low] -= 1
-            s[low] = s[low] << 8 | raw[low, left[low]]
-        state[:k] = s
-        if own is not None:
-            table[:k] = own[every[:k], symbol]
-    back = [b""] * n
-    for j, k in enumerate(order):
-        back[k] = out[j, : size[j]].tobytes()
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    stretches = _running(size, FEW)
+    every = np.arange(n)
+    for lo, hi, k in stretches:
+        s, t, at_byte, first, lane, floor = state[:k].copy(), table[:k].copy(), left[:k].copy(), begin[:k], every[:k], start[:k]
+        for at in range(lo, hi):
+            slot = s & (SCALE - 1)
+            symbol = symbol_of[(t << SCALE_BITS) + slot]
+            out[first + at] = symbol
+            cell = (t << 8) + symbol
+            s = wide[cell] * (s >> SCALE_BITS) + slot - low[cell]
+            for _ in range(2):
+                under = (s < FLOOR) & (at_byte > floor)
+                if not under.any():
+                    break
+                at_byte -= under
+                s = np.where(under, s << 8 | flat[at_byte], s)
+            if own is not None:
+                t = own[lane, symbol]
+                if t.min() < 0:  # allowed behind a lane's last byte only
+                    if (t[size[:k] > at + 1] < 0).any():
+                        raise CorruptData("context without a table")
+                    t = np.maximum(t, 0)
+        state[:k], table[:k], left[:k] = s, t, at_byte
+    done = stretches[-1][1] if stretches else 0
+    for k in range(n):
+        if size[k] <= done:
+            break
+        x, t, at, floor = int(state[k]), int(table[k]), int(left[k]), int(start[k])
+        raw, got = coded[order[k]], bytearray()
+        next_ = own[k].tolist() if own is not None else None
+        parts: dict[int, tuple] = {}
+        for _ in range(int(size[k]) - done):
+            if t not in parts:
+                if t < 0:
+                    raise CorruptData("context without a table")
+                parts[t] = (symbol_of[t << SCALE_BITS : (t + 1) << SCALE_BITS].tobytes(), freq[t].tolist(), below[t].tolist())
+            symbols, f, c = parts[t]
+            slot = x & 4095
+            symbol = symbols[slot]
+            got.append(symbol)
+            x = f[symbol] * (x >> SCALE_BITS) + slot - c[symbol]
+            while x < FLOOR and at > floor:
+                at -= 1
+                x = x << 8 | raw[at - floor]
+            if next_ is not None:
+                t = next_[symbol]
+        out[begin[k] + done : begin[k] + size[k]] = np.frombuffer(bytes(got), np.uint8)
+    back, whole = [b""] * n, out.tobytes()
+    for j, k in enumerate(order.tolist()):
+        back[k] = whole[begin[j] : begin[j] + size[j]]
     return back
 
 
-def _in_blocks(run, blobs: list) -> list:
+def _in_blocks(run, blobs: list, weight) -> list:
+    """``run`` over runs of like length, with at most BLOCK of the summed weights at a time."""
     out: list = [None] * len(blobs)
-    order = sorted(range(len(blobs)), key=lambda k: len(blobs[k]))
-    for lo in range(0, len(order), LANES):
-        part = order[lo : lo + LANES]
-        for k, x in zip(part, run([blobs[k] for k in part]), strict=True):
+    order = sorted(range(len(blobs)), key=lambda k: -len(blobs[k]))
+    held, size = [], 0
+
+    def put() -> None:
+        for k, x in zip(held, run([blobs[k] for k in held]), strict=True):
             out[k] = x
+
+    for k in order:
+        held.append(k)
+        size += weight(blobs[k])
+        if size > BLOCK:
+            put()
+            held, size = [], 0
+    if held:
+        put()
     return out
 
 
@@ -145,16 +222,17 @@ def encode0_many(blobs: list[bytes]) -> list[bytes]:
 
     def run(part: list[bytes]) -> list[bytes]:
         lanes = _Lanes(part)
-        counts = np.array([np.bincount(np.frombuffer(b, np.uint8), minlength=256) for b in lanes.blobs])
+        owner = lanes.owner()
+        counts = np.bincount(owner * 256 + lanes.flat, minlength=256 * len(part)).reshape(-1, 256)
         freq = quantise(counts)
-        coded = _push(lanes, freq, _below(freq), None)
+        coded = _push(lanes, freq, owner)
         back = [b""] * len(part)
         for j, k in enumerate(lanes.order):
             b = lanes.blobs[j]
             back[k] = struct.pack("<I", len(b)) + freq[j].astype("<u2").tobytes() + struct.pack("<I", len(coded[j])) + coded[j] if b else bytes(4)
         return back
 
-    return _in_blocks(run, blobs)
+    return _in_blocks(run, blobs, lambda b: len(b) + 4096)
 
 
 def encode1_many(blobs: list[bytes]) -> list[bytes]:
@@ -163,24 +241,22 @@ def encode1_many(blobs: list[bytes]) -> list[bytes]:
     def run(part: list[bytes]) -> list[bytes]:
         lanes = _Lanes(part)
         n = len(part)
-        before = lanes.contexts()
-        live = np.arange(lanes.width) < lanes.length[:, None]
-        pair = (np.arange(n)[:, None] * 256 + before) * 256 + lanes.data
-        keys, times = np.unique(pair[live], return_counts=True)
+        context = lanes.owner() * 256 + lanes.contexts()
+        keys, times = np.unique(context * 256 + lanes.flat, return_counts=True)
         tables, row = np.unique(keys >> 8, return_inverse=True)
         counts = np.zeros((len(tables), 256), np.int64)
         counts[row, keys & 255] = times
         freq = quantise(counts)
-        place = np.searchsorted(tables, np.arange(n)[:, None] * 256 + before)
-        coded = _push(lanes, freq, _below(freq), np.minimum(place, len(tables) - 1))
+        coded = _push(lanes, freq, np.searchsorted(tables, context))
+        first = np.searchsorted(tables, np.arange(n + 1) * 256)
         back = [b""] * n
         for j, k in enumerate(lanes.order):
-            own = np.flatnonzero(tables >> 8 == j)
+            own = range(first[j], first[j + 1])
             body = b"".join(bytes((int(tables[t]) & 255,)) + freq[t].astype("<u2").tobytes() for t in own)
             back[k] = struct.pack("<IH", len(lanes.blobs[j]), len(own)) + body + struct.pack("<I", len(coded[j])) + coded[j]
         return back
 
-    return _in_blocks(run, blobs)
+    return _in_blocks(run, blobs, lambda b: len(b) + 65536)
 
 
 def _table(raw: bytes, at: int) -> np.ndarray:
@@ -199,6 +275,10 @@ def _tail(raw: bytes, at: int) -> bytes:
     return raw[at + 4 : at + 4 + n]
 
 
+def _claimed(raw: bytes) -> int:
+    return struct.unpack_from("<I", raw)[0] if len(raw) >= 4 else 0
+
+
 def decode0_many(raws: list[bytes]) -> list[bytes]:
     def run(part: list[bytes]) -> list[bytes]:
         sizes = [struct.unpack_from("<I", r)[0] if len(r) >= 4 else 0 for r in part]
@@ -213,7 +293,7 @@ def decode0_many(raws: list[bytes]) -> list[bytes]:
                 back[k] = b
         return back
 
-    return _in_blocks(run, raws)
+    return _in_blocks(run, raws, lambda r: _claimed(r) + 4096)
 
 
 def decode1_many(raws: list[bytes]) -> list[bytes]:
@@ -234,9 +314,11 @@ def decode1_many(raws: list[bytes]) -> list[bytes]:
             coded.append(_tail(r, 6 + 513 * n))
         if not tables:
             raise CorruptData("no context table")
-        return _pull(coded, sizes, np.stack(tables), chain[:, 0].copy(), chain)
+        if (chain[np.array(sizes) > 0, 0] < 0).any():
+            raise CorruptData("context without a table")
+        return _pull(coded, sizes, np.stack(tables), np.maximum(chain[:, 0], 0), chain)
 
-    return _in_blocks(run, raws)
+    return _in_blocks(run, raws, lambda r: _claimed(r) + 10 * len(r))
 
 
 def encode_many(blobs: list[bytes]) -> list[bytes]:

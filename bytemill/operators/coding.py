@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytemill.functions import chunkcodec, codecs, hashing, lz, rans
+from bytemill.functions import batches, chunkcodec, codecs, hashing, lz, rans
 from bytemill.operators.analysis import ngrams
 from bytemill.plans.scratch import stage
 
@@ -19,21 +19,27 @@ def binary(run: Callable[[bytes], bytes], *columns: Column, kind: str = "binary"
 
     @F.arrow_udf(kind)
     def each(*arrays: pa.Array) -> pa.Array:
-        rows = zip(*(a.to_pylist() for a in arrays), strict=True)
-        return pa.array([None if any(x is None for x in r) else run(*r) for r in rows], type_)
+        out = []
+        for some in batches.runs(arrays[0]):
+            rows = zip(*(a[some].to_pylist() for a in arrays), strict=True)
+            out.append(pa.array([None if any(x is None for x in r) else run(*r) for r in rows], type_))
+        return batches.joined(out, type_)
 
     return each(*columns)
 
 
 def batched(run: Callable[[list[bytes]], list], column: Column, kind: str = "binary") -> Column:
-    """``run`` over all values of a batch at once; nulls stay null."""
+    """``run`` over the values of a batch, many at once; nulls stay null."""
     type_ = {"binary": pa.binary(), "string": pa.string()}[kind]
 
     @F.arrow_udf(kind)
     def each(values: pa.Array) -> pa.Array:
-        rows = values.to_pylist()
-        got = iter(run([r for r in rows if r is not None]))
-        return pa.array([None if r is None else next(got) for r in rows], type_)
+        out = []
+        for some in batches.runs(values):
+            rows = values[some].to_pylist()
+            got = iter(run([r for r in rows if r is not None]))
+            out.append(pa.array([None if r is None else next(got) for r in rows], type_))
+        return batches.joined(out, type_)
 
     return each(column)
 
@@ -75,11 +81,11 @@ def cell_round_trip(c: Column, bits: int) -> Column:
 
 
 def lz_compress(c: Column) -> Column:
-    return binary(lz.compress, c)
+    return batched(lz.compress_many, c)
 
 
 def lz_decompress(c: Column) -> Column:
-    return binary(lz.decompress, c)
+    return batched(lz.decompress_many, c)
 
 
 def rans0_encode(c: Column) -> Column:
@@ -144,7 +150,11 @@ def encode_chunks(content: Column, stages: Column, genome: codecs.Genome | None
 
     @F.arrow_udf("binary")
     def each(data: pa.Array, masks: pa.Array) -> pa.Array:
-        return pa.array(chunkcodec.encode_chunks(data.to_pylist(), masks.to_pylist(), [genome] * len(data)), pa.binary())
+        out = []
+        for some in batches.runs(data):
+            rows = data[some].to_pylist()
+            out.append(pa.array(chunkcodec.encode_chunks(rows, masks[some].to_pylist(), [genome] * len(rows)), pa.binary()))
+        return batches.joined(out, pa.binary())
 
     return each(content, stages)
 
@@ -154,7 +164,11 @@ def decode_chunks(coded: Column, stages: Column, genome: codecs.Genome | None =
 
     @F.arrow_udf("binary")
     def each(data: pa.Array, masks: pa.Array) -> pa.Array:
-        return pa.array(chunkcodec.decode_chunks(data.to_pylist(), masks.to_pylist(), [genome] * len(data)), pa.binary())
+        out = []
+        for some in batches.runs(data):
+            rows = data[some].to_pylist()
+            out.append(pa.array(chunkcodec.decode_chunks(rows, masks[some].to_pylist(), [genome] * len(rows)), pa.binary()))
+        return batches.joined(out, pa.binary())
 
     return each(coded, stages)
 

@@ -42,7 +42,6 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     put_on_path(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # whole blobs in a batch
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
