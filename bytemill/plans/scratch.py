@@ -42,6 +42,17 @@ def finish(df: DataFrame, tag: str, *used: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes a core up to which an input counts as small.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores: a file of one row group is one task otherwise. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SMALL * cores else df
+
+
 def put_on_path(spark: SparkSession) -> None:
     """Let Python workers started from here on import this package from its own folder."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -22,7 +22,7 @@ from bytemill.operators import analysis as A
 from bytemill.operators import coding as K
 from bytemill.operators import segments as R
 from bytemill.plans import engine
-from bytemill.plans.scratch import put_on_path, shared_dir, stage
+from bytemill.plans.scratch import put_on_path, shared_dir, spread, stage
 from bytemill.sources import cell, registry
 from bytemill.streaming import chunks as streams
 
@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.blobs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return A.blobs(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def md5(c: Column | str) -> Column:
@@ -261,7 +261,7 @@ _AS_CHUNKS = "WITH c AS (SELECT source AS blob_id, doc_id AS chunk_idx, sha256(t
 
 def _as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("blob_id"), F.col("doc_id").alias("chunk_idx"), F.sha2(text, 256).alias("hash"), F.octet_length(text).alias("length"), text.alias("data"))
+    return spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(F.col("source").alias("blob_id"), F.col("doc_id").alias("chunk_idx"), F.sha2(text, 256).alias("hash"), F.octet_length(text).alias("length"), text.alias("data"))
 
 
 @query(_AS_CHUNKS + " SELECT blob_id, sum(b)::BIGINT AS total_size, sum(c)::BIGINT AS chunks, count(*) AS uniques, sum(c - 1)::BIGINT AS duplicates, sum(one)::BIGINT AS unique_size FROM (SELECT blob_id, hash, count(*) AS c, sum(length) AS b, min(length) AS one FROM c GROUP BY ALL) GROUP BY blob_id")
@@ -414,7 +414,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     def raw(v: pa.Array) -> pa.Array:
         return pa.array([None if x is None else np.array(x, "<f4").tobytes() for x in v.to_pylist()], pa.binary())
 
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("blob_id"), raw("embedding").alias("content"))
+    return spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("blob_id"), raw("embedding").alias("content"))
 
 
 @query()
