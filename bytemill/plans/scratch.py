@@ -49,7 +49,7 @@ SMALL = 8 << 20
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small input out to all cores: a file of one row group is one task otherwise. Larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SMALL * cores else df
 
 
