@@ -88,6 +88,21 @@ def element_size_by_planes(data: bytes, sample: int = 16384, gain: float = 0.5)
     return size
 
 
+def recommended(data: bytes, sample: int = 65536) -> int:
+    """The stage mask of one content, by the rules that ``columns`` has for tables."""
+    if not data:
+        return 0xFF
+    counts = np.bincount(np.frombuffer(data[:sample], np.uint8), minlength=256)
+    entropy, distinct = order0_entropy(counts), int((counts > 0).sum())
+    if (counts[32:127].sum() + counts[[9, 10, 13]].sum()) / counts.sum() > 0.90:
+        mask = 0x3F
+    elif entropy > 7.9 and distinct > 250:
+        return 0x03
+    else:
+        mask = 0x33 if entropy > 7.5 else 0x7F
+    return mask | 0x80 if distinct <= 16 else mask
+
+
 @dataclass(frozen=True)
 class Cells:
     cells: bytes

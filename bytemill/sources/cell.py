@@ -4,12 +4,14 @@ Files go through pyarrow's file systems, so a path may name any store that those
 executors share. Reading lists the files on the driver and deals them out, large ones first; with option
 ``mode`` = ``header`` only the first 40 bytes of each are read. With option ``pushdown`` = ``true`` and
 spark.sql.python.filterPushdown.enabled, equality on blob_id prunes files. Writing goes to one temporary
-folder and is moved into place on commit; _SUCCESS marks the end.
+folder and is moved into place on commit; _SUCCESS marks the end. Null ids or contents, ids that come twice,
+and in append mode ids that are stored already are errors, and nothing is written then.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -27,8 +29,11 @@ CONTENT = "blob_id string, content binary"
 HEADER = "blob_id string, version int, flags int, stages int, original_size long, payload_size long, chunk_count long, unique_count long, genome_size long, original_crc32 long"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; one without a scheme is local to the process that opens it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 class Files(InputPartition):
@@ -45,7 +50,7 @@ class CellReader(DataSourceReader):
         self.only: set[str] | None = None
 
     def partitions(self) -> list[InputPartition]:
-        store, top = _open(self.path)
+        store, top = open_store(self.path)
         found = [f for f in store.get_file_info(fs.FileSelector(top)) if f.is_file and f.base_name.endswith(".cell")]
         if self.only is not None:
             found = [f for f in found if unquote(f.base_name[:-5]) in self.only]
@@ -59,7 +64,7 @@ class CellReader(DataSourceReader):
         return [*out, Files(held)] if held or not out else out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        store, _ = _open(self.path)
+        store, _ = open_store(self.path)
         raws: list[tuple[str, bytes]] = []
         for name in partition.value:
             blob_id = unquote(name.rpartition("/")[2][:-5])
@@ -100,12 +105,12 @@ class CellWriter(DataSourceWriter):
         self.path, self.names, self.overwrite, self.run = options["path"], schema.names, overwrite, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
-        store, top = _open(self.path)
+        store, top = open_store(self.path)
         store.create_dir(f"{top}/_temporary-{self.run}", recursive=True)
         made, held, size = [], [], 0
 
         def put() -> None:
-            contents = [bytes(r["content"] or b"") for r in held]
+            contents = [bytes(r["content"]) for r in held]
             masks = [r["stages"] if "stages" in self.names else C.ALL_STAGES for r in held]
             for row, a in zip(held, archive.compress_many(contents, masks), strict=True):
                 name = quote(str(row["blob_id"]), safe="")
@@ -115,8 +120,10 @@ class CellWriter(DataSourceWriter):
                 made.append((name, part))
 
         for row in rows:
+            if row["blob_id"] is None or row["content"] is None:
+                raise ValueError("an archive needs an id and a content; a row has a null there")
             held.append(row)
-            size += len(row["content"] or b"")
+            size += len(row["content"])
             if size > TOGETHER:
                 put()
                 held, size = [], 0
@@ -124,7 +131,14 @@ class CellWriter(DataSourceWriter):
         return Written(made)
 
     def commit(self, messages: list) -> None:
-        store, top = _open(self.path)
+        store, top = open_store(self.path)
+        names = [name for m in messages if m for name, _ in m.names]
+        if twice := [n for n, k in Counter(names).items() if k > 1]:
+            raise ValueError(f"{len(twice)} ids come more than once, {unquote(twice[0])!r} is one")
+        if not self.overwrite:
+            there = {f.base_name[:-5] for f in store.get_file_info(fs.FileSelector(top, allow_not_found=True)) if f.is_file and f.base_name.endswith(".cell")}
+            if there & set(names):
+                raise FileExistsError(f"{unquote(min(there & set(names)))!r} is stored already")
         if self.overwrite:
             for f in store.get_file_info(fs.FileSelector(top, allow_not_found=True)):
                 if f.is_file and f.base_name.endswith(".cell"):
@@ -137,7 +151,7 @@ class CellWriter(DataSourceWriter):
         store.open_output_stream(f"{top}/_SUCCESS").close()
 
     def abort(self, messages: list) -> None:
-        self._clear(*_open(self.path))
+        self._clear(*open_store(self.path))
 
     def _clear(self, store: fs.FileSystem, top: str) -> None:
         if store.get_file_info(f"{top}/_temporary-{self.run}").type == fs.FileType.Directory:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("name", "path", "model_type", "original_size", "compressed_size", "ts", "version")
@@ -30,7 +30,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], SCHEMA)
-    return parse(spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()))
+    lines_ = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    ahead, seen = [], 0
+    for r in lines_.groupBy("_file").count().orderBy("_file").collect():  # a row for each file; save() names them in order
+        ahead.append((r["_file"], seen))
+        seen += r["count"]
+    before = F.broadcast(spark.createDataFrame(ahead, "_file string, _ahead long"))
+    inside = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return parse(lines_.withColumn("_nth", inside).join(before, "_file").select("value", (F.col("_ahead") + F.col("_nth")).alias("seq")))
 
 
 def lines(registry: DataFrame) -> DataFrame:

@@ -138,14 +138,17 @@ def test_header_reads_little(spark, rows):
     assert got[5]["original_size"] == 5400 and got[5]["version"] == 2 and got[2]["version"] is None and got[1]["chunk_count"] == 0
 
 
-def test_streams_equal_whole_blobs(spark, tmp_path):
+@pytest.mark.parametrize("late", [False, True])
+def test_streams_equal_whole_blobs(spark, tmp_path, late):
     import random
 
+    from bytemill.functions import archive
+
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     data = {k: random.Random(k).randbytes(9000) for k in ("a", "b")}
     pieces = [(k, seq, d[at : at + 2500], at + 2500 >= len(d)) for k, d in data.items() for seq, at in enumerate(range(0, len(d), 2500))]
     schema = "stream_id string, seq long, bytes binary, ended boolean"
-    for n in range(4):  # a file, and so a micro-batch, for each round of pieces
+    for n in (2, 0, 3, 0, 1) if late else range(4):  # a file, and so a micro-batch, for each round of pieces; late: out of turn and twice
         spark.createDataFrame([p for p in pieces if p[1] == n], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     cfg = ChunkerConfig(256, 512, 1024)
@@ -156,3 +159,15 @@ def test_streams_equal_whole_blobs(spark, tmp_path):
     key = lambda rows: sorted((r[0], r["chunk_idx"], r["offset"], r["length"], bytes(r["hash"])) for r in rows)
     assert key(chunks.collect()) == key(whole.collect())
     assert b"".join(streams.read_stream(chunks, "a")) == data["a"]
+    sink = streams.archive_stream(source).writeStream.format("parquet").option("path", f"{tmp_path}/cells").option("checkpointLocation", f"{tmp_path}/state2")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    made = {r["stream_id"]: bytes(r["archive"]) for r in spark.read.parquet(f"{tmp_path}/cells").collect()}
+    assert {k: archive.decompress(raw) for k, raw in made.items()} == data
+
+
+def test_stage_mask_of_one_content(spark):
+    import random
+
+    cases = [b"", b"aab", b"some text here, and there", bytes(range(256)) * 40, random.Random(1).randbytes(70_000), bytes(range(200)) * 9, bytes(x % 190 for x in random.Random(2).randbytes(5000))]
+    df = spark.createDataFrame(list(enumerate(cases)), "blob_id long, content binary")
+    assert {r["blob_id"]: r["stages"] for r in A.analyze(df).collect()} == {k: codecs.recommended(c) for k, c in enumerate(cases)}

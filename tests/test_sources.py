@@ -84,8 +84,40 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "f.txt").write_bytes(b"hello world " * 50)
     assert main(["compress", str(tmp_path / "f.txt"), "-o", str(tmp_path / "out")]) == 0
     assert "f.txt.cell" in capsys.readouterr().out
-    made = bytes(spark.read.parquet(str(tmp_path / "out")).first()["archive"])
-    (tmp_path / "f.cell").write_bytes(made)
-    for command in ("info", "analyze", "decompress"):
-        assert main([command, str(tmp_path / "f.cell")]) == 0
+    cell_file = tmp_path / "out" / "f.txt.cell"
+    assert archive.decompress(cell_file.read_bytes()) == b"hello world " * 50
+    for command in ("info", "analyze"):
+        assert main([command, str(cell_file)]) == 0
+    assert main(["decompress", str(cell_file), "-o", str(tmp_path / "back")]) == 0
+    assert (tmp_path / "back" / "f.txt").read_bytes() == b"hello world " * 50
+    assert main(["compress", str(tmp_path / "f.txt")]) == 0 and (tmp_path / "f.txt.cell").exists()
     assert main(["info", str(tmp_path / "f.txt")]) == 1
+
+
+@pytest.mark.parametrize("rows_", [[("a", b"one"), ("a", b"two")], [(None, b"x")], [("a", None)]])
+def test_no_archive_is_lost(spark, tmp_path, rows_):
+    cell.register(spark)
+    df = spark.createDataFrame(rows_, "blob_id string, content binary").repartition(2)
+    with pytest.raises(Exception, match="more than once|null"):
+        df.write.format("cell").mode("append").save(f"{tmp_path}/cells")
+    assert not [f for f in os.listdir(tmp_path / "cells") if f.endswith(".cell")] if (tmp_path / "cells").exists() else True
+
+
+def test_stored_ids_are_not_replaced(spark, stored):
+    with pytest.raises(Exception, match="stored already"):
+        spark.createDataFrame([("bin", b"other")], "blob_id string, content binary").write.format("cell").mode("append").save(stored)
+    assert {r["blob_id"]: bytes(r["content"]) for r in spark.read.format("cell").load(stored).collect()} == dict(ROWS)
+
+
+def test_registry_keeps_its_order_over_files(spark, tmp_path):
+    path = f"file://{tmp_path}/registry"
+    names = [f"n{k}" + "x" * (k % 37) for k in range(4000)]
+    data = [(n, f"{n}.cell", "kind", k, 5, 100, 1, k) for k, n in enumerate(names)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        registry.save(spark.createDataFrame(data, registry.SCHEMA).repartition(5), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len([f for f in os.listdir(tmp_path / "registry") if f.startswith("part")]) > 1
+    assert [r["name"] for r in registry.load(spark, path).orderBy("seq").collect()] == names
+    assert [r["name"] for r in registry.entries(registry.load(spark, path), 3).orderBy("seq").collect()] == names[:3]
