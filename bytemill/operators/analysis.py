@@ -58,14 +58,15 @@ def measures(content: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(cols, names=["entropy", "distinct", "printable"], mask=content.is_null())
 
 
-def analyze(df: DataFrame, sample: int = SAMPLED) -> DataFrame:
-    """One row a blob: length, entropy, distinct, printable, class, stages, predicted_ratio."""
+def analyze(df: DataFrame, sample: int | None = SAMPLED) -> DataFrame:
+    """One row a blob, by its first ``sample`` bytes (None: all): length, entropy, distinct, printable, class, stages, predicted_ratio."""
 
     @F.arrow_udf("struct<entropy: double, distinct: int, printable: double>")
     def measure(content: pa.Array) -> pa.Array:
         return measures(content)
 
-    out = df.select("blob_id", F.octet_length("content").cast("long").alias("length"), measure(F.substring("content", 1, sample)).alias("m"))
+    looked = F.col("content") if sample is None else F.substring("content", 1, sample)
+    out = df.select("blob_id", F.octet_length("content").cast("long").alias("length"), measure(looked).alias("m"))
     out = out.select("blob_id", "length", "m.*")
     out = out.withColumn("class", F.when(F.col("entropy").isNotNull(), C.content_class(F.col("printable"), F.col("entropy"), F.col("distinct"))))
     return out.withColumns({"stages": C.stage_mask(F.col("class"), F.col("distinct"), F.col("length")), "predicted_ratio": C.predicted_ratio(F.col("entropy"))})

@@ -58,12 +58,32 @@ def back(df: DataFrame, restored: Column, *more: Column) -> DataFrame:
     return df.select("blob_id", md5(restored).alias("restored_md5"), *more)
 
 
+_CRC_TABLE = []
+for _k in range(256):
+    for _ in range(8):
+        _k = _k >> 1 ^ 0xEDB88320 * (_k & 1)
+    _CRC_TABLE.append(_k)
+#: The CRC-32 of hex pairs in a list h, a byte at a time over the table.
+CRC = f"xor(list_reduce(list_transform(h, lambda b: ('0x' || b)::BIGINT), lambda a, b: xor(a >> 8, ({_CRC_TABLE}::BIGINT[])[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)::BIGINT"
+
+
+def stated(c: Column, at: int, n: int = 4) -> Column:
+    """The little-endian number in n bytes of a binary column, from the given place on."""
+    parts = [F.conv(F.hex(F.substring(c, at + 1 + k, 1)), 16, 10).cast("long") * 256**k for k in range(n)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out + x
+    return out
+
+
 RESTORED = "SELECT doc_id AS blob_id, md5(text) AS restored_md5 FROM documents"
 #: One row a byte: blob_id, pos, byte.
 BYTES = """
 WITH h AS (SELECT doc_id AS blob_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents),
 x AS (SELECT blob_id, pos, ('0x' || b)::INT AS byte FROM (SELECT blob_id, unnest(h) AS b, unnest(range(len(h))) AS pos FROM h)),
 s AS (SELECT blob_id, byte, count(*) AS cnt FROM x WHERE pos < 65536 GROUP BY ALL)"""
+#: The same with the counts of all bytes; the analyzer's own rule is to look at the first 64 KB.
+WHOLE = BYTES.replace(" WHERE pos < 65536", "")
 MEASURES = (
     BYTES
     + """,
@@ -104,10 +124,18 @@ def s9_archive_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("blob_id").cast("long").alias("blob_id"), "original_size", "version")
 
 
-@query(RESTORED)
+_ARCHIVED = "WITH h AS (SELECT doc_id AS blob_id, md5(text) AS restored_md5, octet_length(encode(text))::BIGINT AS original_size, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents) " + f"SELECT blob_id, restored_md5, original_size, {CRC} AS crc FROM h"
+
+
+def _archived(made: DataFrame) -> DataFrame:
+    """The content of archives, with the size and the checksum that their headers state."""
+    head = made.select("blob_id", engine.header(F.col("archive")).alias("h")).select("blob_id", "h.original_size", F.col("h.original_crc32").alias("crc"))
+    return engine.decompress(made).select("blob_id", md5("content").alias("restored_md5")).join(head, "blob_id")
+
+
+@query(_ARCHIVED)
 def s4_archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = engine.compress(blobs(spark, sf_dir))
-    return engine.decompress(made).select("blob_id", md5("content").alias("restored_md5"))
+    return _archived(engine.compress(blobs(spark, sf_dir)).select("blob_id", "archive"))
 
 
 _LINES = "concat_ws('|', p_name, p_brand, p_type, p_partkey, p_size, p_partkey * 10, 1)"
@@ -160,12 +188,12 @@ def f3_hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("fnv128").agg(F.count(F.lit(1)).alias("blobs"), F.min("blob_id").alias("first"))
 
 
-@query()
+@query(f"{_HASHED} SELECT blob_id, {CRC} AS crc FROM h")
 def f4_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs(spark, sf_dir).select("blob_id", F.crc32("content").alias("crc"))
 
 
-@query()
+@query(f"{_HASHED} SELECT blob_id, {CRC} AS crc FROM h WHERE len(h) > 0")
 def f5_crc32_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continued over the chunks of a blob, in order; equal to the whole blob's."""
 
@@ -275,36 +303,47 @@ _WHOLE_DISTINCT = BYTES + ", v AS (SELECT blob_id, count(DISTINCT byte) AS d FRO
 
 @query(_WHOLE_DISTINCT + f" SELECT blob_id, {_BITS} AS bits FROM w")
 def a9_bits_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = A.analyze(blobs(spark, sf_dir), sample=1 << 30)
+    whole = A.analyze(blobs(spark, sf_dir), sample=None)
     return whole.select("blob_id", C.bits_needed(F.col("distinct"), F.col("length")).alias("bits"))
 
 
-@query(BYTES + ", a AS (SELECT DISTINCT blob_id, unnest(range(256)) AS byte FROM s) SELECT blob_id, arg_min(byte, cnt * 256 + byte)::INT AS escape FROM (SELECT a.blob_id, a.byte, coalesce(cnt, 0) AS cnt FROM a LEFT JOIN s ON a.blob_id = s.blob_id AND a.byte = s.byte) GROUP BY blob_id")
+@query(WHOLE + ", a AS (SELECT DISTINCT blob_id, unnest(range(256)) AS byte FROM s) SELECT blob_id, arg_min(byte, cnt * 256 + byte)::INT AS escape FROM (SELECT a.blob_id, a.byte, coalesce(cnt, 0) AS cnt FROM a LEFT JOIN s ON a.blob_id = s.blob_id AND a.byte = s.byte) GROUP BY blob_id")
 def a10_escape_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.escape_byte(A.byte_histogram(blobs(spark, sf_dir)))
+    return A.escape_byte(A.byte_histogram(blobs(spark, sf_dir), None))
 
 
-_GRAMS = "WITH h AS (SELECT hex(encode(text)) AS h FROM documents), p AS (SELECT h, n, unnest(range(0, greatest(0, (length(h) // 2 - n + 1)))) AS i FROM h, range({least}, 5) t(n)), g AS (SELECT substr(h, 2 * i + 1, 2 * n) AS pattern, n::INT AS n, count(*) AS freq FROM p GROUP BY ALL)"
+def _grams(least: int) -> str:
+    """Counts of all strings of ``least`` to 8 bytes, as hex: each place with the bytes behind it."""
+    pairs = ", ".join(f"lead(v, {k}) OVER w AS v{k}" for k in range(1, 8))
+    each = " UNION ALL ".join(f"SELECT v || {' || '.join(f'v{k}' for k in range(1, n))} AS pattern, {n} AS n FROM w" for n in range(least, 9))
+    return (
+        "WITH h AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents), x AS (SELECT doc_id, unnest(h) AS v, unnest(range(len(h))) AS pos FROM h),"
+        f" w AS (SELECT v, {pairs} FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),"
+        f" g AS (SELECT pattern, n::INT AS n, count(*) AS freq FROM ({each}) WHERE pattern IS NOT NULL GROUP BY ALL)"
+    )
 
 
-@query(_GRAMS.format(least=2) + " SELECT * FROM g")
+@query(_grams(2) + " SELECT * FROM g")
 def a11_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.ngrams(blobs(spark, sf_dir), 2, 4).withColumn("pattern", F.hex("pattern"))
+    return A.ngrams(blobs(spark, sf_dir), 2, 8).withColumn("pattern", F.hex("pattern"))
+
+
+_BEST = _grams(3) + ", b AS (SELECT *, freq * (n - 2) AS savings FROM g WHERE freq >= 4), r AS (SELECT *, row_number() OVER (ORDER BY savings DESC, n DESC, pattern) AS k FROM b)"
 
 
-@query(_GRAMS.format(least=3) + ", b AS (SELECT *, freq * (n - 2) AS savings FROM g WHERE freq >= 4), r AS (SELECT *, row_number() OVER (ORDER BY savings DESC, n DESC, pattern) AS k FROM b) SELECT (k - 1)::INT AS code, pattern, freq, savings FROM r WHERE k <= 255")
+@query(_BEST + " SELECT (k - 1)::INT AS code, pattern, freq, savings FROM r WHERE k <= 255")
 def a12_best_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.best_patterns(A.ngrams(blobs(spark, sf_dir), 3, 4)).withColumn("pattern", F.hex("pattern"))
+    return A.best_patterns(A.ngrams(blobs(spark, sf_dir), 3, 8)).withColumn("pattern", F.hex("pattern"))
 
 
-@query(BYTES + " SELECT blob_id, byte, cnt, coalesce(sum(cnt) OVER (PARTITION BY blob_id ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM s")
+@query(WHOLE + " SELECT blob_id, byte, cnt, coalesce(sum(cnt) OVER (PARTITION BY blob_id ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM s")
 def a13_symbol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.symbol_stats(A.byte_histogram(blobs(spark, sf_dir)))
+    return A.symbol_stats(A.byte_histogram(blobs(spark, sf_dir), None))
 
 
-@query(BYTES + " SELECT blob_id, byte, greatest(1, (cnt * 4096 + t // 2) // t)::BIGINT AS freq FROM (SELECT *, (sum(cnt) OVER (PARTITION BY blob_id))::BIGINT AS t FROM s)")
+@query(WHOLE + " SELECT blob_id, byte, greatest(1, (cnt * 4096 + t // 2) // t)::BIGINT AS freq FROM (SELECT *, (sum(cnt) OVER (PARTITION BY blob_id))::BIGINT AS t FROM s)")
 def a14_rounded_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rounded_frequencies(A.byte_histogram(blobs(spark, sf_dir)))
+    return A.rounded_frequencies(A.byte_histogram(blobs(spark, sf_dir), None))
 
 
 @query(BYTES + " SELECT blob_id, prev::INT AS prev, byte AS cur, count(*) AS cnt FROM (SELECT *, lag(byte, 1, 0) OVER (PARTITION BY blob_id ORDER BY pos) AS prev FROM x) GROUP BY ALL")
@@ -403,9 +442,10 @@ def c3_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs(spark, sf_dir).filter(F.octet_length("content") > 0).select("blob_id", F.md5(F.hex(K.shuffle(F.col("content"), 4))).alias("shuffled_md5"))
 
 
-@query(RESTORED)
+@query(BYTES + _SHUFFLED.replace("SELECT blob_id, md5(", ", f AS (SELECT blob_id, md5(", 1) + ") SELECT f.*, md5(text) AS restored_md5 FROM f JOIN documents ON doc_id = blob_id")
 def c4_unshuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return back(blobs(spark, sf_dir), K.unshuffle(K.shuffle(F.col("content"), 4), 4))
+    some = blobs(spark, sf_dir).filter(F.octet_length("content") > 0).withColumn("s", K.shuffle(F.col("content"), 4))
+    return back(some, K.unshuffle(F.col("s"), 4), F.md5(F.hex("s")).alias("shuffled_md5"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,11 +463,13 @@ def c3_shuffle_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("blob_id", md5(K.shuffle(F.col("content"), 4)).alias("shuffled_md5"), (K.unshuffle(K.shuffle(F.col("content"), 4), 4) == F.col("content")).alias("same"))
 
 
-@query(RESTORED)
+@query("SELECT doc_id AS blob_id, md5(text) AS restored_md5, true AS shorter FROM documents")
 def c8_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shorter``: what the codebook leaves of texts from 500 bytes on is less than the text."""
     some = blobs(spark, sf_dir)
     genome = K.corpus_genome(some)
-    return back(some, K.pattern_decode(K.pattern_encode(F.col("content"), genome), genome))
+    some, n = some.withColumn("p", K.pattern_encode(F.col("content"), genome)), F.octet_length("content")
+    return back(some, K.pattern_decode(F.col("p"), genome), ((n < 500) | (F.octet_length("p") < n)).alias("shorter"))
 
 
 @query("SELECT doc_id AS blob_id, md5(lower(text)) AS restored_md5 FROM documents")
@@ -443,25 +485,36 @@ def c12_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.delta_decode(stage(K.delta_encode(chunks), "delta")).select("blob_id", "uid", md5("data").alias("restored_md5"))
 
 
-@query(RESTORED)
+@query("SELECT doc_id AS blob_id, md5(text) AS restored_md5, octet_length(encode(text))::BIGINT AS stated_size, 2::BIGINT AS version, true AS bounded FROM documents")
 def c15_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return back(blobs(spark, sf_dir), K.lz_decompress(K.lz_compress(F.col("content"))))
+    """With what the coded form states; it never has more than a flag bit a byte beside its five bytes in front."""
+    some, n, size = blobs(spark, sf_dir).withColumn("p", K.lz_compress(F.col("content"))), F.octet_length("content"), F.octet_length("p")
+    return back(some, K.lz_decompress(F.col("p")), stated(F.col("p"), 0).alias("stated_size"), stated(F.col("p"), 4, 1).alias("version"), (size <= 5 + n + F.ceil(n / 8)).alias("bounded"))
 
 
-@query(RESTORED)
+@query("SELECT doc_id AS blob_id, md5(text) AS restored_md5, octet_length(encode(text))::BIGINT AS stated_size, true AS near_entropy FROM documents")
 def c17_rans_order0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return back(blobs(spark, sf_dir), K.rans0_decode(K.rans0_encode(F.col("content"))))
+    """The size lies between the entropy of all bytes and a little more, beside the table's 520 bytes."""
+    measured = A.analyze(blobs(spark, sf_dir), sample=None).select("blob_id", (F.col("entropy") * F.col("length") / 8).alias("least"))
+    some = blobs(spark, sf_dir).withColumn("p", K.rans0_encode(F.col("content"))).join(measured, "blob_id")
+    rest = F.octet_length("p") - 520
+    near = (F.octet_length("content") == 0) | ((rest >= F.floor("least")) & (rest <= F.col("least") * 1.03 + 8))
+    return back(some, K.rans0_decode(F.col("p")), stated(F.col("p"), 0).alias("stated_size"), near.alias("near_entropy"))
 
 
-@query("SELECT doc_id AS blob_id, md5(text) AS restored_md5 FROM documents WHERE text <> ''")
+@query(BYTES + ", c AS (SELECT blob_id, count(DISTINCT prev) AS contexts FROM (SELECT blob_id, lag(byte, 1, 0) OVER (PARTITION BY blob_id ORDER BY pos) AS prev FROM x) GROUP BY blob_id) SELECT blob_id, md5(text) AS restored_md5, octet_length(encode(text))::BIGINT AS stated_size, contexts FROM c JOIN documents ON doc_id = blob_id")
 def c19_rans_order1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = blobs(spark, sf_dir).filter(F.octet_length("content") > 0)
-    return back(some, K.rans1_decode(K.rans1_encode(F.col("content"))))
+    some = blobs(spark, sf_dir).filter(F.octet_length("content") > 0).withColumn("p", K.rans1_encode(F.col("content")))
+    return back(some, K.rans1_decode(F.col("p")), stated(F.col("p"), 0).alias("stated_size"), stated(F.col("p"), 4, 2).alias("contexts"))
 
 
-@query(RESTORED)
+@query("SELECT doc_id AS blob_id, md5(text) AS restored_md5, octet_length(encode(text))::BIGINT AS stated_size, true AS known_order FROM documents")
 def c20_rans_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return back(blobs(spark, sf_dir), K.rans_decode(K.rans_encode(F.col("content"))))
+    """The first byte says which order was taken; order 1 is for long texts only."""
+    some = blobs(spark, sf_dir).withColumn("p", K.rans_encode(F.col("content")))
+    order = stated(F.col("p"), 0, 1)
+    known = (order == 0) | ((order == 1) & (F.octet_length("content") > 4096))
+    return back(some, K.rans_decode(F.col("p")), stated(F.col("p"), 1).alias("stated_size"), known.alias("known_order"))
 
 
 @query(BYTES + " SELECT blob_id, md5(string_agg(lpad(to_hex(byte & 15), 2, '0') || lpad(to_hex(byte >> 4), 2, '0'), '' ORDER BY pos)) AS cells_md5 FROM x GROUP BY blob_id")
@@ -479,10 +532,12 @@ def c22_cell_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(RESTORED)
+@query("SELECT doc_id AS blob_id, md5(text) AS restored_md5, 1::BIGINT AS element_size, true AS shorter FROM documents WHERE text <> ''")
 def c24_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = engine.with_analysis(blobs(spark, sf_dir)).withColumn("stages", F.coalesce("stages", F.lit(C.ALL_STAGES)))
-    return back(some, K.decode_chunks(K.encode_chunks(F.col("content"), F.col("stages")), F.col("stages")))
+    """``shorter``: texts from 2000 bytes on leave less than they were."""
+    some = engine.with_analysis(blobs(spark, sf_dir).filter(F.octet_length("content") > 0))
+    some, n = some.withColumn("p", K.encode_chunks(F.col("content"), F.col("stages"))), F.octet_length("content")
+    return back(some, K.decode_chunks(F.col("p"), F.col("stages")), stated(F.col("p"), 0, 1).alias("element_size"), ((n < 2000) | (F.octet_length("p") < n)).alias("shorter"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str, coded: Column) -> DataFrame:
@@ -490,12 +545,18 @@ def _sizes(spark: SparkSession, sf_dir: str, coded: Column) -> DataFrame:
     return blobs(spark, sf_dir).select("blob_id", n.alias("original_size"), F.octet_length(coded).cast("long").alias("coded_size"))
 
 
-@query(RESTORED)
+@query(_WHOLE_DISTINCT + f", z AS (SELECT blob_id, {_BITS} AS bits, length, d FROM w) SELECT blob_id, md5(text) AS restored_md5, bits FROM z JOIN documents ON doc_id = blob_id")
 def c2_bitunpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return back(blobs(spark, sf_dir), K.bitunpack(K.bitpack(F.col("content"))))
+    """Restored values, and the bits a value that the coded form states."""
+    some = blobs(spark, sf_dir).withColumn("p", K.bitpack(F.col("content")))
+    return back(some, K.bitunpack(F.col("p")), stated(F.col("p"), 0, 1).cast("int").alias("bits"))
 
 
-@query()
+@query(
+    _BEST + ", y AS (SELECT ('0x' || v)::INT AS byte, count(*) AS cnt FROM x GROUP BY ALL),"
+    " e AS (SELECT arg_min(a.byte, coalesce(cnt, 0) * 256 + a.byte)::INT AS escape FROM (SELECT unnest(range(256)) AS byte) a LEFT JOIN y ON a.byte = y.byte)"
+    " SELECT (k - 1)::INT AS code, lower(pattern) AS pattern, escape FROM r, e WHERE k <= 255"
+)
 def c5_corpus_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codebook of all blobs with patterns up to eight bytes, and its escape byte."""
     genome = K.corpus_genome(blobs(spark, sf_dir))
@@ -553,15 +614,16 @@ def p3_engine_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.with_analysis(blobs(spark, sf_dir)).select("blob_id", F.round("entropy", 6).alias("entropy"), "class", "stages")
 
 
-@query(MEASURES + f" SELECT blob_id, {_STAGES} AS stages, length::BIGINT AS original_size, class FROM k")
+@query(MEASURES + f", c AS (SELECT doc_id, {CRC} AS crc FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)) SELECT blob_id, {_STAGES} AS stages, length::BIGINT AS original_size, class, crc FROM k JOIN c ON doc_id = blob_id")
 def p1_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.compress(blobs(spark, sf_dir)).select("blob_id", "stages", "original_size", "class")
+    """``crc``: what the archive's header states. An archive holds its own codebook, so short texts do not get smaller."""
+    made = engine.compress(blobs(spark, sf_dir)).withColumn("h", engine.header(F.col("archive")))
+    return made.select("blob_id", "stages", "original_size", "class", F.col("h.original_crc32").alias("crc"))
 
 
-@query(RESTORED)
+@query(_ARCHIVED)
 def p2_decompress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = stage(engine.compress(blobs(spark, sf_dir)).select("blob_id", "archive"), "archives")
-    return engine.decompress(made).select("blob_id", md5("content").alias("restored_md5"))
+    return _archived(stage(engine.compress(blobs(spark, sf_dir)).select("blob_id", "archive"), "archives"))
 
 
 @query()
@@ -632,11 +694,12 @@ def g5_registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.entries(g2_registry_add(spark, sf_dir), 3)
 
 
-@query(_ADDED + " SELECT * EXCLUDE (seq) FROM u")
+@query(_ADDED + " SELECT * EXCLUDE (seq), row_number() OVER (ORDER BY seq) AS place FROM u")
 def g6_registry_save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/bytemill/registry-{uuid.uuid4().hex}"
     registry.save(g2_registry_add(spark, sf_dir), path)
-    return registry.load(spark, path).drop("seq")
+    place = F.row_number().over(Window.orderBy("seq")).cast("long")
+    return registry.load(spark, path).withColumn("place", place).drop("seq")
 
 
 # --- byte streams ---
