@@ -8,11 +8,15 @@ the rest are verified by edit distance over the band of 2 * EDITS + 1 diagonals,
 updates in parallel as bits of a word. An index key that ``CROWD`` lines share is found by a
 frequent-items sketch and refined: its lines join on segments of what remains of them, and meet only if
 their letter counts allow it. Links become classes through connected components; the first document of a class
-keeps one line, all others of the class go. Shorter lines are duplicates only if equal.
+keeps one line, all others of the class go. Lines under SHORTEST characters are duplicates only if equal: two
+edits can turn most of them into any other.
+
+Lines are told apart by 128-bit digests; distinct texts have numbers of their own in the join.
 
 Defined cases: lines are compared without outer white space, blank ones do not count; a null text has no
-lines; rows that repeat an id are one document; a null id never is the first document unless all ids of
-the class are null; an empty table gives an empty result; other columns pass through.
+lines; every row is a document of its own, also where rows repeat an id or are equal in all columns, of
+which the first then keeps a shared line; a null id comes after all others; an empty table gives an empty
+result; very long texts and lines are worked on as a whole; other columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytemill.llm.graph import components
+from bytemill.llm.rows import small
 from bytemill.llm.text import BLANKS, let, whole
-from bytemill.plans.scratch import stage
+from bytemill.plans.scratch import finish, stage
 
 EDITS = 2
 SHORTEST = 16
@@ -34,11 +39,19 @@ LETTERS = "etaonihsrdlucmpg"
 FEW = 200_000
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line and id, one row per line that is not blank."""
-    cut = docs.select("doc_id", F.posexplode(F.split(whole(F.col("text")), "\n", -1)).alias("pos", "line"))
-    cut = cut.withColumn("line", F.btrim("line", F.lit(BLANKS))).filter("line <> ''")
-    return cut.withColumn("id", F.xxhash64("line"))
+def trimmed(text: Column) -> Column:
+    """The lines of a text that are not blank, without outer white space."""
+    return F.filter(F.transform(F.split(whole(text), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+
+
+def _digest(line: Column) -> Column:
+    return F.unhex(F.md5(line))
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, lines), stored: every row under a number of its own, its lines as 128-bit digests in order."""
+    number = F.monotonically_increasing_id() if "_row" not in docs.columns else F.col("_row")
+    return stage(docs.select(number.alias("_row"), "doc_id", F.transform(trimmed(F.col("text")), _digest).alias("lines")), "rows")
 
 
 def sketch(line: Column) -> Column:
@@ -81,8 +94,8 @@ def probe_rows(rows: DataFrame) -> DataFrame:
     return _cut_rows(rows, shifts)
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """(u, v): ids of different lines that share an aligned segment.
+def candidates(lines: DataFrame, used: list | None = None) -> DataFrame:
+    """(u, v): ids of different lines that share an aligned segment; ``used`` gets the tables to forget afterwards.
 
     Under a crowded key, lines meet by the segments of what remains of them, and only if their letter
     counts allow it: many variants of one line share most of its text without being near each other.
@@ -90,13 +103,16 @@ def candidates(lines: DataFrame) -> DataFrame:
     rows = lines.select("id", F.lit(0).cast("long").alias("prefix"), F.col("line").alias("r"))
     indexed, probes = index_rows(rows), probe_rows(rows)
     top = indexed.agg(F.expr(f"approx_top_k(key, {CROWDS}, {8 * CROWDS})").alias("t")).select(F.explode("t").alias("t")).filter(F.col("t.count") >= CROWD)
-    crowds = stage(top.select(F.col("t.item").alias("key")), "crowds")
+    crowds = stage(top.select(F.col("t.item").alias("key")), "crowds", few=True)
+    used = [] if used is None else used
+    used.append(crowds)
     if crowds.isEmpty():
         return _meet(indexed, probes).distinct()
     crowds = F.broadcast(crowds)
     rest = F.concat(F.substr("r", F.lit(1), F.col("a")), F.substr("r", F.col("a") + F.col("q") + 1, F.char_length("r")))
     kept = ["id", F.col("key").alias("prefix"), rest.alias("r")]
     counted = stage(lines.select("id", "line").join(indexed.join(crowds, "key").select("id").unionByName(probes.join(crowds, "key").select("id")).distinct(), "id", "left_semi"), "crowd")
+    used.append(counted)
     counted = counted.select("id", sketch(F.col("line")).alias("sketch"))
     again = index_rows(indexed.join(crowds, "key").select(kept)).join(counted, "id")
     asked = probe_rows(probes.join(crowds, "key").select(kept)).join(counted, "id")
@@ -169,52 +185,73 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return let(F.struct(a.alias("s"), b.alias("t")), lambda x: let(turned(x), lambda y: let(_past_common(y), middles)))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(id, root, keep_doc, n) of every line that is not alone in its class: equal lines share an id."""
-    distinct = lines_of(docs).groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    distinct = stage(distinct.withColumn("id", F.xxhash64("line")), "lines")
-    pairs = stage(candidates(distinct.filter(F.char_length("line") >= SHORTEST)), "pairs")
+def links(docs: DataFrame) -> DataFrame:
+    """(u, v), stored: digests of different lines of at least SHORTEST characters within EDITS of each other."""
+    lines = docs.select(F.explode(trimmed(F.col("text"))).alias("line")).filter(F.char_length("line") >= SHORTEST).distinct()
+    lines = stage(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
+    used = [lines]
+    pairs = stage(candidates(lines, used), "pairs")
     asked = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "asked")
-    if asked.count() <= FEW:
-        asked = F.broadcast(asked)
-    texts = stage(distinct.select("id", "line").join(asked, "id", "left_semi").withColumn("sketch", sketch(F.col("line"))), "texts")
-    first = texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("sketch").alias("x"))
-    second = texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("sketch").alias("y"))
+    texts = lines.join(small(asked, FEW), "id", "left_semi")
+    texts = stage(texts.withColumns({"sketch": sketch(F.col("line")), "h": _digest(F.col("line"))}), "texts")
+    first = texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("sketch").alias("x"), F.col("h").alias("hu"))
+    second = texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("sketch").alias("y"), F.col("h").alias("hv"))
     both = pairs.join(first, "u").join(second, "v").filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2 * EDITS)
-    linked = components(both.filter(within(F.col("a"), F.col("b"))).select("u", "v"))
-    member = linked.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(linked.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
-    many = distinct.select("id", "first", "n").join(stage(member, "members"), "id", "left").filter("n > 1 or root is not null")
-    many = stage(many.withColumn("root", F.coalesce("root", "id")), "many")
-    least = many.groupBy("root").agg(F.min("first").alias("keep_doc"))
-    return stage(many.join(least, "root").select("id", "root", "keep_doc", "n"), "classes")
+    return finish(both.filter(within(F.col("a"), F.col("b"))).select(F.col("hu").alias("u"), F.col("hv").alias("v")), "links", *used, pairs, asked, texts)
 
 
-def _tagged(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every line with root and keep_doc, null where it is alone; the most frequent lines meet theirs by broadcast."""
-    heavy = F.broadcast(stage(classes.orderBy(F.desc("n"), "id").limit(HEAVY), "heavy").drop("n"))
-    lines = lines_of(docs)
-    frequent = lines.join(heavy, "id")
-    rest = lines.join(heavy, "id", "left_anti").join(classes.drop("n"), "id", "left")
-    return frequent.unionByName(rest)
+def line_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h, root, keep, n, links), stored, of every line that is not alone in its class; equal lines share a digest h.
+
+    keep is the row whose line stays: the one of the smallest id, null last, then the first row. links counts the
+    other lines within EDITS.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    counted = rows.select("_row", "doc_id", F.explode("lines").alias("h")).groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    linked = links(docs)
+    joined = components(linked)
+    member = joined.select(F.col("v").alias("h"), F.col("u").alias("root")).unionByName(joined.select(F.col("u").alias("h"), F.col("u").alias("root")).distinct())
+    degree = linked.select(F.explode(F.array("u", "v")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
+    member = stage(member.join(degree, "h"), "members")
+    many = counted.join(member, "h", "left").filter("n > 1 or root is not null")
+    many = stage(many.withColumns({"root": F.coalesce("root", "h"), "links": F.coalesce("links", F.lit(0).cast("long"))}), "many")
+    least = many.groupBy("root").agg(F.min("first").alias("keep"))
+    return finish(many.join(least, "root").select("h", "root", "keep", "n", "links"), "classes", linked, joined, member, many)
+
+
+def _tagged(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(_row, pos, h, root, keep, links) of the lines in classes; the most frequent lines meet theirs by broadcast."""
+    heavy = F.broadcast(stage(classes.orderBy(F.desc("n"), "h").limit(HEAVY), "heavy", few=True).drop("n"))
+    lines = rows.select("_row", F.posexplode("lines").alias("pos", "h"))
+    return lines.join(heavy, "h").unionByName(lines.join(heavy, "h", "left_anti").join(classes.drop("n"), "h"))
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines and n_removed of every row of documents."""
-    tagged = _tagged(docs.select("doc_id", "text"), line_classes(docs)).filter("root is not null")
-    per = tagged.groupBy("doc_id", "root", "keep_doc").agg(F.count(F.lit(1)).alias("c"))
-    gone = per.groupBy(F.col("doc_id").alias("_id")).agg(F.sum(F.col("c") - F.col("doc_id").eqNullSafe(F.col("keep_doc")).cast("long")).alias("gone"))
-    n = F.size(F.filter(F.split(whole(F.col("text")), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
-    rows = docs.select("doc_id", n.alias("n_lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return rows.select("doc_id", "n_lines", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"))
+    """A row for each of docs: doc_id, n_lines, n_removed, n_shared, n_links and first_ids.
+
+    n_shared counts its lines that have a class, n_links the links of its different lines, and first_ids lists the
+    ids of the rows in which the lines of its classes stay.
+    """
+    rows = rows_of(docs)
+    classes = line_classes(docs, rows)
+    per = _tagged(rows, classes).groupBy("_row", "h", "root", "keep", "links").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("_row", "root", "keep").agg(F.sum("c").alias("c"), F.sum("links").alias("links"))
+    stays = (F.col("_row") == F.col("keep.row")).cast("long")
+    gone = per.groupBy("_row").agg(F.sum(F.col("c") - stays).alias("gone"), F.sum("c").alias("shared"), F.sum("links").alias("links"), F.sort_array(F.collect_set("keep.id")).alias("ids"))
+    none = F.lit(0).cast("long")
+    out = rows.select("_row", "doc_id", F.size("lines").cast("long").alias("n_lines")).join(gone, "_row", "left")
+    out = out.select("doc_id", "n_lines", *[F.coalesce(c, none).alias(n) for c, n in (("gone", "n_removed"), ("shared", "n_shared"), ("links", "n_links"))], F.coalesce("ids", F.array().cast("array<long>")).alias("first_ids"))
+    return finish(out, "line-counts", rows, classes)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents without the lines that go; lines that stay are trimmed and keep their order."""
-    tagged = _tagged(docs.select("doc_id", "text"), line_classes(docs))
-    first = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("pos")) == 1
-    stays = F.col("root").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_doc")) & F.col("_first"))
-    kept = tagged.withColumn("_first", first).filter(stays)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    made = kept.groupBy(F.col("doc_id").alias("_id")).agg(text.alias("_text"))
-    out = docs.join(made, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("text", F.coalesce("_text", F.lit("")))
-    return out.select(docs.columns)
+    packed = stage(docs.select("doc_id", "text", F.struct("*").alias("_docs"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    rows = rows_of(packed)
+    tagged = _tagged(rows, line_classes(packed, rows))
+    first = F.row_number().over(Window.partitionBy("_row", "root").orderBy("pos")) == 1
+    goes = tagged.withColumn("_first", first).filter(~((F.col("_row") == F.col("keep.row")) & F.col("_first")))
+    gone = stage(goes.groupBy("_row").agg(F.collect_set("pos").alias("_gone")), "gone")
+    lines = F.filter(trimmed(F.col("text")), lambda x, k: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), k))
+    out = packed.join(gone, "_row", "left").withColumn("_text", F.array_join(lines, "\n"))
+    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col("_docs")[c].alias(c) for c in docs.columns])
