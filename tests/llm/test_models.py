@@ -56,6 +56,22 @@ def test_pieces_and_places(spark):
     assert packing.pack_documents(frame(spark, []), PATH).isEmpty()
 
 
+def test_ids_of_marked_capitals_and_all_documents(spark):
+    tok, encoder, rng = Tokenizer.from_file(PATH), packing.Encoder(PATH), random.Random(0)
+    letters = "aTtHJWé\u0331\u0308\u030c\u030a \u03a3\u03c3\u03c2\u0130i'sS.,;0 \n\t\x0b\x0c\r\x1c\x85\xa0\u0301K漢ß"
+    cases = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + ["T\u0308", "H\u0331 J\u030c. W\u030a,"]
+    for t in cases + list(rows_of(spark).values()):
+        assert encoder.encode(t.encode()) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_forgotten_words_are_learned_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3000)
+    tok, encoder = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    for t in list(rows_of(spark).values())[:60]:
+        assert encoder.encode(t.encode()) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(encoder.known) <= 3000 + len(t)
+
+
 def test_few_sequences(spark):
     n, least = check_packing(queries.op1_packing(spark, SF).collect())
     assert n <= least + max(1, least // 200)
@@ -126,8 +142,22 @@ def test_near_groups(spark):
     assert simhash.near_groups(frame(spark, [])).isEmpty()
 
 
-@pytest.mark.parametrize(("crowd", "outright"), [(512, 1 << 24), (4, 1 << 24), (4, 50)])
-def test_crowded_anchors_lose_no_link(spark, monkeypatch, crowd, outright):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_near_dedup_of_repeated_ids(spark, monkeypatch, few):
+    from bytemill.llm import rows
+
+    monkeypatch.setattr(rows, "FEW", few)
+    a, b = "one text of several words here", "quite another text with other words"
+    docs = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, "a third text which is alone"), (None, "a third text which is alone"), (None, "yet one more text, the fourth")]
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(docs)], "doc_id long, text string, fp int, n string")
+    left = simhash.near_dedup(df)
+    assert left.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(3, a), (5, b), (None, docs[5][1]), (None, docs[7][1])])
+
+
+@pytest.mark.parametrize(("crowd", "outright", "crowds"), [(512, 1 << 24, 4096), (4, 1 << 24, 4096), (4, 50, 4096), (4, 1 << 24, 0)])
+def test_crowded_anchors_lose_no_link(spark, monkeypatch, crowd, outright, crowds):
+    monkeypatch.setattr(simhash, "CROWDS", crowds)
     rng = random.Random(crowd)
     fps = [rng.getrandbits(64)]
     while len(fps) < 900:  # chains and dense balls around one point
@@ -301,6 +331,47 @@ def test_far_texts_are_rejected(spark):
     assert foreign.agg(F.avg(F.col("rejected").cast("int"))).first()[0] > 0.5
 
 
+def test_prediction_equals_plain_cosines(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    fold = lambda b: b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
+    for r in langid.predict(docs, model).orderBy("doc_id").limit(50).collect():
+        if r["lang_pred"] == "und":
+            continue
+        t = [32, *map(fold, text[r["doc_id"]]), 32]
+        n = Counter(((t[k - 1] | t[k] << 8 | t[k + 1] << 16) * 2654435761 & 0xFFFFFFFF) >> 20 for k in range(1, len(t) - 1) if t[k] != 32)
+        x = {k: math.sqrt(c) * model.idf[k] for k, c in n.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        cos = [sum(v * c[k] for k, v in x.items()) / norm for c in model.centroids]
+        assert r["score"] == pytest.approx(max(cos), abs=1e-4) and max(c for c, g in zip(cos, model.langs, strict=True) if g == r["lang_pred"]) >= max(cos) - 1e-5
+
+
+def test_samples_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from bytemill.llm.rows import drawn
+
+    same = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit("one text of one id").alias("text"), F.lit("en").alias("lang"))
+    assert drawn(same, "langid", F.lit(1.0)).count() == 2
+    some = spark.range(20_000).select("id", F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert 800 < drawn(some, "langid", F.lit(0.05)).count() < 1200
+    assert langid.predict(same, langid.fit(same)).filter("lang_pred <> 'en'").isEmpty()
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("words of a text").alias("text"), F.col("id").cast("string").alias("lang"))
+    assert len(set(langid.fit(many).langs)) <= langid.LANGUAGES
+
+
+def test_clashing_columns_pass_the_pipeline_stages(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").withColumns({c: F.lit(42) for c in ("score", "lang_pred", "rejected", "kept", "size", "copies", "_row", "fp")})
+    for _, step in corpus_pipeline.STAGES[:4]:
+        out = step(spark, docs, "")
+        assert out.columns == docs.columns
+        assert out.filter(" or ".join(f"{c} <> 42" for c in ("score", "lang_pred", "rejected", "kept", "size", "copies", "_row", "fp"))).isEmpty() and not out.isEmpty()
+
+
 def test_trigram_counts_cross_blocks(monkeypatch):
     text = random.Random(0).randbytes(5000)
     flat, starts = np.frombuffer(text, np.uint8), np.array([0, 7, 7, 2500, 5000])
@@ -330,6 +401,30 @@ def test_accuracies_are_found():
     assert (guess == good).mean() > 0.93
 
 
+def test_posterior_equals_plain_rounds():
+    rng = random.Random(4)
+    patterns = {tuple(rng.choice((0, 1, 2, 2)) for _ in range(4)): rng.randint(1, 50) for _ in range(40)}
+    good = {k: 0.05 if k.count(0) > k.count(1) else 0.95 for k in patterns}
+    total = sum(patterns.values())
+    for _ in range(100):
+        mass = sum(n * good[k] for k, n in patterns.items())
+        prior = min(0.95, max(0.05, (mass + 1) / (total + 2)))
+        new = {}
+        for k in patterns:
+            odds = math.log(prior / (1 - prior))
+            for j, vote in enumerate(k):
+                if vote < 2:
+                    of = lambda c: sum(n * (good[q] if c else 1 - good[q]) for q, n in patterns.items())
+                    cast = lambda c: sum(n * (good[q] if c else 1 - good[q]) for q, n in patterns.items() if q[j] == vote)  # noqa: B023, E731
+                    rate = [(cast(c) + 0.5) / (of(c) + 1) for c in (vote, 1 - vote)]
+                    odds += (1 if vote else -1) * max(0.0, math.log(rate[0] / rate[1]))
+            new[k] = 1 / (1 + math.exp(-max(-50, min(50, odds))))
+        if max(abs(new[k] - good[k]) for k in new) < 1e-9:
+            break
+        good = new
+    assert weak_quality.estimate(patterns) == pytest.approx(good, abs=1e-6)
+
+
 # --- 5 ---
 
 BASE = {
@@ -381,6 +476,37 @@ def test_field_on_unseen_examples():
     assert hit >= 0.9 * want and extra <= 0.03 * want
 
 
+def test_field_finds_the_best_segmentation():
+    """Against all segmentations of short runs, with the trained weights and with random ones."""
+    rng = random.Random(6)
+    w = pii.trained()
+    for n in range(60):
+        text = " ".join(rng.choice(["call", "4111", "1111", "+1", "555-1234", "(212)", "a@b.co", "10.0.0.1", "token", "zz9", "7", "and"]) for _ in range(rng.randint(1, 6)))
+        weights = w if n % 2 else {(k, f): rng.uniform(-2, 2) for k in pii.KINDS for f in ("any", "tokens1", "tokens2", "digits1", "digits2", "length4", "length5", "loose", "call")}
+        for run in pii.islands(text):
+            spans = [(i, j, sum(weights.get((k, f), 0.0) for f in fs), (k, a, b)) for i, j, a, b, fs in pii._lattice(text, run) for k in pii.KINDS]
+
+            def every(at, spans=spans, run=run):
+                if at >= len(run):
+                    yield 0.0, []
+                    return
+                yield from every(at + 1)
+                for i, j, s, span in spans:
+                    if i == at:
+                        for rest, more in every(j):
+                            yield s + rest, [span, *more]
+
+            top = max(x for x, _ in every(0))
+            got = pii.best(text, run, weights)
+            score = {span: s for _, _, s, span in spans}
+            assert sum(score[x] for x in got) == pytest.approx(top, abs=1e-9)
+
+
+def test_long_words_before_a_span_count():
+    word = "x" * 5000
+    assert pii._words_before(f"one {word}  two ", len(word) + 10) == [word, "two"] and pii._words_before("a", 0) == []
+
+
 def test_personal_data_of_awkward_rows(spark):
     assert pii.personal_data(frame(spark)).count() == len(documents()) and pii.personal_data(frame(spark, [])).isEmpty()
 
