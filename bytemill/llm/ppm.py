@@ -9,14 +9,16 @@ they have seen and two factors for all others, one for those that the next short
 one for the rest, so most bytes of a text cost one look-up.
 
 The counts are broadcast and the trie is built once a worker while its size stays within ``CELLS``. Beyond
-that, windows are dealt into buckets by their nearest bytes, each task builds the trie of its own bucket,
-and documents send the counts of their windows there; results are equal. The windows of a bucket that
-has many are dealt again, at ``ROWS`` or so a task, and its counts go to each of those tasks. The word model beside it keeps its ``TOP`` most frequent
-words in a broadcast table and joins all rarer ones with the counted vocabulary.
+that, the counts of the most frequent contexts, as many as fit, are broadcast and score all windows that begin
+with one of them where the text is read. Only the other windows move: they are dealt into buckets by their nearest
+bytes, each task builds the trie of its own bucket, and a bucket that has many windows is dealt to several tasks,
+at ``ROWS`` or so each, its counts going to each of those. Results are equal. The word model beside it keeps its
+``TOP`` most frequent words in a broadcast table and joins all rarer ones with the counted vocabulary.
 
 Defined cases: a null text is empty and scores its end alone; with no training rows every byte is
 equally likely and every word unknown; a null id hashes as the empty string; repeated rows score
-alike; other columns are left behind.
+alike; very long texts are cut into blocks of windows; an empty table gives an empty result; other columns are
+left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytemill.llm.langid import _batches, held_out
-from bytemill.plans.scratch import stage
+from bytemill.plans.scratch import finish, forget, stage
 
 ORDER = 5
 DENSE = 3
@@ -199,11 +201,13 @@ def chances(levels: list[np.ndarray], symbols: int) -> np.ndarray:
 class Trie:
     """Chances of a symbol after ORDER bytes, from counted windows.
 
-    Given windows of some buckets only, it needs ``low``: the counts of all windows cut to DENSE - 1 bytes.
+    Given windows of some buckets only, it needs ``low``: the counts of all windows cut to DENSE - 1 bytes. ``upper``
+    has the counts by context length from DENSE on instead of windows, whole for each context that is there, which
+    with a context are all its shorter ones.
     """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
-        levels = {k: summed(tails(keys, k), n) for k in range(DENSE, ORDER + 1)}
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None, upper: dict | None = None):
+        levels = dict(upper) if upper else {k: summed(tails(keys, k), n) for k in range(DENSE, ORDER + 1)}
         short = low or summed(tails(keys, DENSE - 1), n)
         self.symbols = np.unique(short[0] & np.uint64(255)).astype(np.int64)
         a = len(self.symbols)
@@ -256,6 +260,10 @@ class Trie:
         other = escape + on - np.log10(all_d[of] / (all_n[of] + all_d[of]))
         return Hashed(keys, chance), Hashed(contexts, seen, other)
 
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the whole context of a window is there, and with it all that its chance depends on."""
+        return self.sparse[-1][1].find(keys >> np.uint64(8)) >= 0
+
     def cost(self, keys: np.ndarray) -> np.ndarray:
         """log10 chance of each window's symbol after its context."""
         out = np.empty(len(keys), np.float32)
@@ -297,17 +305,34 @@ class Trie:
                 total[doc[0] : doc[-1] + 1] += np.bincount(doc - doc[0], self.cost(key))
         return total
 
+    def score_known(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the windows whose context is there, and (windows, times, bounds by text) of all others."""
+        line, begin = marked(flat, starts)
+        total, docs, keys = np.zeros(len(starts) - 1), [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+        for doc, key in windows(line, begin):
+            sure = self.known(key)
+            own, some = doc[sure], key[sure]
+            if len(own):
+                total[own[0] : own[-1] + 1] += np.bincount(own - own[0], self.cost(some))
+            docs.append(doc[~sure])
+            keys.append(key[~sure])
+        doc, key = np.concatenate(docs), np.concatenate(keys)
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        return total, key[first], np.diff(np.append(first, len(key))), np.searchsorted(doc[first], np.arange(len(starts)))
+
 
 class Shared:
     """What every worker needs; the trie is built where it is first asked for, and stays there."""
 
-    def __init__(self, kept: dict[bytes, float], windows: tuple[np.ndarray, np.ndarray] | None):
-        self.kept, self.windows, self._trie = kept, windows, None
+    def __init__(self, kept: dict[bytes, float], *parts):
+        self.kept, self.parts, self._trie = kept, parts, None
 
     @property
-    def trie(self) -> Trie | None:
-        if self._trie is None and self.windows is not None:
-            self._trie = Trie(*self.windows)
+    def trie(self) -> Trie:
+        if self._trie is None:
+            self._trie = Trie(*self.parts)
         return self._trie
 
 
@@ -326,55 +351,67 @@ def _nearest() -> Column:
     return F.expr(f"shiftright(w, 8) & {(1 << 8 * DENSE) - 1}")
 
 
-def needed(docs: DataFrame, buckets: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, w, n, b, part), the distinct windows of documents dealt by bucket and at most about ``rows`` each, and (b, parts)."""
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(_nearest()), F.lit(buckets))
 
-    def needs(batches):
-        at = 0
-        for batch in batches:
-            uid = batch.column(0).to_numpy()
-            for k, flat, starts in _batches(batch.column(1)):
-                for doc, key in windows(*marked(flat, starts)):
-                    order = np.lexsort((key, doc))
-                    doc, key = doc[order], key[order]
-                    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-                    n = np.diff(np.append(first, len(key)))
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[k + doc[first]]), pa.array(key[first].astype(np.int64)), pa.array(n), pa.array(at + np.arange(len(n)))], ["uid", "w", "n", "at"])
-                    at += len(n)
-
-    def loads(batches):
-        for batch in batches:
-            for _, flat, starts in _batches(batch.column(0)):
-                for _, key in windows(*marked(flat, starts)):
-                    near, n = np.unique(key >> np.uint64(8) & np.uint64((1 << 8 * DENSE) - 1), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array((near << np.uint64(8)).astype(np.int64)), pa.array(n)], ["w", "n"])
 
-    need = docs.select("uid", "text").mapInArrow(needs, "uid long, w long, n long, at long").withColumn("b", _bucket(buckets))
-    load = docs.select("text").mapInArrow(loads, "w long, n long").groupBy(_bucket(buckets).alias("b")).agg(F.sum("n").alias("n"))
-    parts = stage(load.select("b", F.ceil(F.col("n") / rows).alias("parts")), "parts")  # a row a bucket
-    return need.join(F.broadcast(parts), "b").withColumn("part", F.pmod(F.xxhash64("uid", "at"), F.col("parts"))).drop("at", "parts"), parts
+def _level(grams: DataFrame, k: int) -> DataFrame:
+    """Windows cut to the last k bytes of context."""
+    if k == ORDER:
+        return grams
+    return grams.groupBy(F.expr(f"w & {(1 << 8 * (k + 1)) - 1}").alias("w")).agg(F.sum("n").alias("n"))
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(_nearest()), F.lit(buckets))
+def frequent(grams: DataFrame, symbols: int, cells: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Counts by context length of all contexts that were seen so often that these counts stay within ``cells`` numbers.
 
+    A histogram by power of two says where to draw the line; a context is never more frequent than a shorter one
+    that ends it, so with a context all its shorter ones are there.
+    """
+    levels = {k: stage(_level(grams, k).withColumn("t", F.sum("n").over(Window.partitionBy(F.expr("shiftright(w, 8)")))), "level") for k in range(DENSE, ORDER + 1)}
+    grade, cost = F.floor(F.log2("t")).cast("int"), {}
+    for k, level in levels.items():
+        one = level.groupBy(F.expr("shiftright(w, 8)").alias("c")).agg(F.count(F.lit(1)).alias("e"), F.first("t").alias("t"))
+        for r in one.groupBy(grade.alias("g")).agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("c")).collect():  # 64 rows at most
+            cost[r["g"]] = cost.get(r["g"], 0) + 8 * r["e"] + (k == DENSE) * (symbols + 1) * r["c"]
+    left, least = cells, 64
+    for g in range(63, -1, -1):
+        left -= cost.get(g, 0)
+        if left < 0:
+            break
+        least = g
+    found = {}
+    for k, level in levels.items():
+        keys, n = _columns(level.filter(grade >= least).select("w", "n"))
+        found[k] = summed(keys, n)
+    forget(*levels.values())
+    return found
+
+
+def deal(need: DataFrame, buckets: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (uid, at, w, n) with b and part: buckets by the nearest bytes, cut to about ``rows`` each; and (b, parts)."""
+    need = need.withColumn("b", _bucket(buckets))
+    parts = stage(need.groupBy("b").count().select("b", F.ceil(F.col("count") / rows).alias("parts")), "parts")  # a row a bucket
+    return need.join(F.broadcast(parts), "b").withColumn("part", F.pmod(F.xxhash64("uid", "at"), F.col("parts"))).drop("at", "parts"), parts
 
-def score_dealt(docs: DataFrame, grams: DataFrame, buckets: int, rows: int = ROWS) -> DataFrame:
-    """(uid, score) with every window in one bucket's tasks only, by its nearest DENSE bytes; shorter ones go along."""
-    short = F.expr(f"w & {(1 << 8 * DENSE) - 1}").alias("w")
-    low = docs.sparkSession.sparkContext.broadcast(_columns(grams.groupBy(short).agg(F.sum("n").alias("n"))))  # at most 2^24 rows
+
+def score_dealt(need: DataFrame, grams: DataFrame, low: tuple[np.ndarray, np.ndarray], buckets: int, rows: int = ROWS) -> DataFrame:
+    """(uid, more) from rows (uid, at, w, n): every window is scored in one of its bucket's tasks."""
+    shared = need.sparkSession.sparkContext.broadcast(low)
 
     def solve(need, own):
-        trie = Trie(own["w"].to_numpy().astype(np.uint64), own["n"].to_numpy(), low.value)
+        if not need.num_rows:
+            return pa.table({"uid": pa.array([], pa.int64()), "more": pa.array([], pa.float64())})
+        trie = Trie(own["w"].to_numpy().astype(np.uint64), own["n"].to_numpy(), shared.value)
         w = need["w"].to_numpy().astype(np.uint64)
-        costs = [trie.cost(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)] or [np.zeros(0)]
+        costs = [trie.cost(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)]
         got = np.concatenate(costs).astype(np.float64) * need["n"].to_numpy()
-        return pa.table({"uid": need["uid"], "score": pa.array(got)}).group_by("uid").aggregate([("score", "sum")]).rename_columns(["uid", "score"])
+        return pa.table({"uid": need["uid"], "more": pa.array(got)}).group_by("uid").aggregate([("more", "sum")]).rename_columns(["uid", "more"])
 
-    need, parts = needed(docs, buckets, rows)
+    need, parts = deal(need, buckets, rows)
     own = grams.withColumn("b", _bucket(buckets)).join(F.broadcast(parts), "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    solved = need.groupBy("b", "part").cogroup(own.groupBy("b", "part")).applyInArrow(solve, "uid long, score double")
-    return solved.groupBy("uid").agg(F.sum("score").alias("score"))
+    solved = need.groupBy("b", "part").cogroup(own.groupBy("b", "part")).applyInArrow(solve, "uid long, more double")
+    return solved.groupBy("uid").agg(F.sum("more").alias("dealt"))
 
 
 def _frequent(words: DataFrame, top: int) -> list:
@@ -392,7 +429,7 @@ def _frequent(words: DataFrame, top: int) -> list:
 def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP, rows: int = ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    base = docs.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), text.alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    base = docs.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), text.alias("text"))
     counts = gather(base)
     grams = _grams(counts)
     words = counts.filter(F.substring("key", 1, 1) != F.unhex(F.lit("FF")))
@@ -400,42 +437,51 @@ def lm_scores(docs: DataFrame, cells: int = CELLS, top: int = TOP, rows: int = R
     ends = base.filter("not held_out").count()
     n, v = sums[0] + ends, sums[1] + (ends > 0)
     unknown, end = math.log10(1 / (n + v + 1)), math.log10((ends + 1) / (n + v + 1))
-    frequent = _frequent(words, top)
-    kept = {bytes(r["key"]): math.log10((r["n_train"] + 1) / (n + v + 1)) for r in frequent}
+    common = _frequent(words, top)
+    kept = {bytes(r["key"]): math.log10((r["n_train"] + 1) / (n + v + 1)) for r in common}
     found, symbols, entries = grams.agg(F.countDistinct(_nearest()), F.countDistinct(F.expr("w & 255")), F.count(F.lit(1))).first()
     size = found * (symbols + 1) + 8 * entries  # numbers that the trie holds
     dealt = size > cells
-    shared = docs.sparkSession.sparkContext.broadcast(Shared(kept, None if dealt else _columns(grams)))
+    if dealt:
+        grams = stage(grams, "grams")
+        low = _columns(_level(grams, DENSE - 1))  # at most 2^24 rows
+        parts = (np.zeros(0, np.uint64), np.zeros(0, np.int64), low, frequent(grams, symbols, cells))
+    else:
+        parts = _columns(grams)
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(kept, *parts))
 
     def tokens(batches):
         kept, trie = shared.value.kept, shared.value.trie
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()))
         for batch in batches:
-            out = []
-            for one in batch.column(2):
-                each = one.as_py().lower().split()
-                values = list(map(kept.get, each))
-                rare = [w for w, x in zip(each, values, strict=True) if x is None]
-                sure = np.array([x for x in values if x is not None])
-                out.append((len(each) + 1, int((sure > unknown + 0.1).sum()) + (ends > 0), end + float(sure.sum()), rare))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            score = np.zeros(batch.num_rows)
-            if trie is not None:
-                for k, flat, starts in _batches(batch.column(2)):
-                    score[k : k + len(starts) - 1] = trie.score(flat, starts)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()))
-            made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *made, pa.array(score)], ["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "rare", "score"])
-
-    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, uid long, n_tokens long, n_known long, base double, rare array<binary>, score double"
-    told = stage(base.mapInArrow(tokens, kind), "tokens")
-    # Rows that repeat an id and a text share a uid: their sums are divided by how many they are.
-    asked = told.select("uid", F.posexplode("rare").alias("pos", "key"))
+            for at, flat, starts in _batches(batch.column(2)):
+                some, out = batch.slice(at, len(starts) - 1), []
+                for one in some.column(2):
+                    each = one.as_py().lower().split()
+                    values = list(map(kept.get, each))
+                    rare = [w for w, x in zip(each, values, strict=True) if x is None]
+                    sure = np.array([x for x in values if x is not None])
+                    out.append((len(each) + 1, int((sure > unknown + 0.1).sum()) + (ends > 0), end + float(sure.sum()), rare))
+                made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                if dealt:
+                    score, w, times, bounds = trie.score_known(flat, starts)
+                else:
+                    score, w, times, bounds = trie.score(flat, starts), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int64))) for x in (w, times)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made, pa.array(score), *lists], ["doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "score", "ws", "ns"])
+
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, base double, rare array<binary>, score double, ws array<long>, ns array<long>"
+    told = stage(base.mapInArrow(tokens, kind).withColumn("uid", F.monotonically_increasing_id()), "tokens")
     value = F.when(F.col("n_train") > 0, F.log10((F.col("n_train") + 1) / F.lit(float(n + v + 1)))).otherwise(F.lit(unknown))
-    copies = F.sum(F.when(F.col("pos") == 0, 1))
-    rare = asked.join(words, "key", "left").groupBy("uid").agg((F.sum(value) / copies).alias("more"), (F.count(F.when(F.col("n_train") > 0, 1)) / copies).cast("long").alias("also"))
-    out = told.drop("rare").join(rare, "uid", "left")
+    rare = told.select("uid", F.explode("rare").alias("key")).join(words, "key", "left")
+    rare = rare.groupBy("uid").agg(F.sum(value).alias("more"), F.count(F.when(F.col("n_train") > 0, 1)).alias("also"))
+    out = told.drop("rare", "ws", "ns").join(rare, "uid", "left")
+    score = F.col("score")
     if dealt:
-        scored = score_dealt(base, grams, -(-size // max(1, cells)), rows)
-        times = told.groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
-        out = out.drop("score").join(scored.join(times, "uid").select("uid", (F.col("score") / F.col("times")).alias("score")), "uid")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        need = told.select("uid", F.posexplode(F.arrays_zip("ws", "ns")).alias("at", "x")).select("uid", "at", F.col("x.ws").alias("w"), F.col("x.ns").alias("n"))
+        out = out.join(score_dealt(need, grams, low, -(-size // max(1, cells)), rows), "uid", "left")
+        score = (F.col("score") + F.coalesce("dealt", F.lit(0.0))).alias("score")
+    out = out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score)
+    out = finish(out, "scores", counts, told, *([grams] if dealt else []))
+    shared.destroy()
+    return out

@@ -257,11 +257,30 @@ def test_hot_contexts_are_split(spark):
     docs = frame(spark, [(k, "aaaaaaaa" + chr(97 + k % 26), "en", "a", 0, None, None) for k in range(2000)])
     order = lambda rows: sorted((r["doc_id"], round(r["score"], 3)) for r in rows)
     assert order(ppm.lm_scores(docs, cells=1000, rows=500).collect()) == order(ppm.lm_scores(docs).collect())
-    base = docs.select(F.xxhash64("doc_id", "text").alias("uid"), F.col("text").cast("binary").alias("text"))
-    need, _ = ppm.needed(base, 3, 500)
+    rows = [(k, at, (0x616161 << 8) + at % 50, 1) for k in range(2000) for at in range(3)] + [(k, 9, (k % 26 << 24) + 97, 2) for k in range(100)]
+    need, _ = ppm.deal(spark.createDataFrame(rows, "uid long, at int, w long, n long"), 3, 500)
     sizes = [r["count"] for r in need.groupBy("b", "part").count().collect()]
-    assert max(sizes) < 700 and sum(sizes) == need.select("uid", "w").distinct().count()
+    assert max(sizes) < 700 and sum(sizes) == len(rows)
     assert max(r["count"] for r in need.groupBy("b").count().collect()) > 2000
+    assert need.select("w", "b").distinct().count() == need.select("w").distinct().count()
+
+
+def test_frequent_contexts_score_where_the_text_is(spark):
+    """With half of what the trie would need, most windows are scored at once, and all of them alike."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["the", "river", "house", "green"]) for _ in range(40)) + f" {rng.random()}" for _ in range(60)]
+    flat = [t.encode() for t in texts]
+    keys = [k for t in flat for _, k in ppm.windows(*ppm.marked(np.frombuffer(t, np.uint8), np.array([0, len(t)])))]
+    full = ppm.summed(np.concatenate(keys), np.ones(sum(map(len, keys)), np.int64))
+    grams = spark.createDataFrame([(int(w), int(n)) for w, n in zip(*full, strict=True)], "w long, n long")
+    symbols = len(np.unique(full[0] & np.uint64(255)))
+    some = ppm.frequent(grams, symbols, 20_000)
+    part = ppm.Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64), ppm.summed(ppm.tails(full[0], 2), full[1]), some)
+    whole = ppm.Trie(*full)
+    every = np.concatenate(keys)
+    sure = part.known(every)
+    assert 0.5 < sure.mean() < 1 and len(some[ppm.ORDER][0]) < len(full[0])
+    assert part.cost(every[sure]) == pytest.approx(whole.cost(every[sure]), abs=1e-5)
 
 
 def test_no_training_rows(spark):
