@@ -368,7 +368,9 @@ def frequent(grams: DataFrame, symbols: int, cells: int) -> dict[int, tuple[np.n
     A histogram by power of two says where to draw the line; a context is never more frequent than a shorter one
     that ends it, so with a context all its shorter ones are there.
     """
-    levels = {k: stage(_level(grams, k).withColumn("t", F.sum("n").over(Window.partitionBy(F.expr("shiftright(w, 8)")))), "level") for k in range(DENSE, ORDER + 1)}
+    levels, above = {}, grams
+    for k in range(ORDER, DENSE - 1, -1):  # each from the longer one, which is smaller than all windows
+        levels[k] = above = stage(_level(above.select("w", "n"), k).withColumn("t", F.sum("n").over(Window.partitionBy(F.expr("shiftright(w, 8)")))), "level")
     grade, cost = F.floor(F.log2("t")).cast("int"), {}
     for k, level in levels.items():
         one = level.groupBy(F.expr("shiftright(w, 8)").alias("c")).agg(F.count(F.lit(1)).alias("e"), F.first("t").alias("t"))
