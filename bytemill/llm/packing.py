@@ -31,18 +31,21 @@ from bytemill.plans.scratch import stage
 CAPACITY = 2048
 END_ID = 0
 #: Bytes of words and their ids that a worker keeps, in two halves by age, and what a word costs beside.
-REMEMBERED, WORD_COST = 64 << 20, 160
+REMEMBERED, WORD_COST = 96 << 20, 160
 #: Texts and pieces that a worker holds as objects at a time, in bytes.
 HELD = 4 << 20
 BUCKET_ROWS = 100_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_STOPS = (b".", b",")
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, by way of its words.
 
     The vocabulary's rules never join what ASCII white space separates, so a text's ids are those of
-    its words in a row; each distinct word goes through the tokenizer as it is. A text that holds the
+    its words in a row, and the tokenizer learns each distinct one by itself.  A text that holds the
     start of a special token is encoded as a whole.
     """
 
@@ -61,6 +64,8 @@ class Encoder:
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
             return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        if b"\xcc" not in text:  # the first byte of U+0300 to U+033F
+            text = text.lower()
         words = text.split()
         ids = list(map(self.known.get, words))
         if None in ids:
@@ -72,16 +77,21 @@ class Encoder:
         return b"".join(ids)
 
     def learn(self, new: set[bytes]) -> None:
+        """Words that are not known yet. Many differ in a last full stop or comma only, which is a token of its own behind a letter."""
+        parts = {w: (w[:-1], w[-1:]) if w[-1:] in _STOPS and w[-2:-1].isalpha() else (w, b"") for w in new}
         todo = []
-        for w in new:
-            if (ids := self.older.get(w)) is None:
-                todo.append(w)
-            else:
+        for w in {x for pair in parts.values() for x in pair if x}:
+            if (ids := self.older.get(w)) is not None:
                 self.keep(w, ids)
+            elif w not in self.known:
+                todo.append(w)
         for lo in range(0, len(todo), 4096):
             some = todo[lo : lo + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 self.keep(w, array("I", e.ids).tobytes())
+        for w, (word, stop) in parts.items():
+            if stop:
+                self.keep(w, self.known[word] + self.known[stop])
 
     def keep(self, word: bytes, ids: bytes) -> None:
         self.known[word] = ids
