@@ -20,6 +20,8 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from functools import cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +33,21 @@ from bytemill.plans.scratch import stage
 CAPACITY = 2048
 END_ID = 0
 #: Bytes of words and their ids that a worker keeps, in two halves by age, and what a word costs beside.
-REMEMBERED, WORD_COST = 96 << 20, 160
+REMEMBERED, WORD_COST = 128 << 20, 160
 #: Texts and pieces that a worker holds as objects at a time, in bytes.
 HELD = 4 << 20
 BUCKET_ROWS = 100_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-_STOPS = (b".", b",")
-
-
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, by way of its words.
 
     The vocabulary's rules never join what ASCII white space separates, so a text's ids are those of
-    its words in a row, and the tokenizer learns each distinct one by itself.  A text that holds the
-    start of a special token is encoded as a whole.
+    its words in a row; the tokenizer normalises and encodes each distinct one. Its rules compose before they
+    lower the case, and an ASCII letter only ever composes with U+0300 to U+0338, so in a text without these
+    words that differ in the case of ASCII letters alone have the same ids and are learned once. A text that
+    holds the start of a special token is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -69,7 +70,7 @@ class Encoder:
         words = text.split()
         ids = list(map(self.known.get, words))
         if None in ids:
-            missing = {w for w, x in zip(words, ids, strict=True) if x is None}
+            missing = set(compress(words, map(is_, ids, repeat(None))))
             if self.held > REMEMBERED // 2:  # words that come again move over from the older half, all others go
                 self.older, self.known, self.held, missing = self.known, {}, 0, set(words)
             self.learn(missing)
@@ -77,25 +78,14 @@ class Encoder:
         return b"".join(ids)
 
     def learn(self, new: set[bytes]) -> None:
-        """Words that are not known yet. Many differ in a last full stop or comma only, which is a token of its own behind a letter."""
-        parts = {w: (w[:-1], w[-1:]) if w[-1:] in _STOPS and w[-2:-1].isalpha() else (w, b"") for w in new}
-        todo = []
-        for w in {x for pair in parts.values() for x in pair if x}:
-            if (ids := self.older.get(w)) is not None:
-                self.keep(w, ids)
-            elif w not in self.known:
-                todo.append(w)
+        again = {w: self.older[w] for w in new & self.older.keys()}
+        todo = list(new - again.keys())
+        self.known |= again
         for lo in range(0, len(todo), 4096):
             some = todo[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.keep(w, array("I", e.ids).tobytes())
-        for w, (word, stop) in parts.items():
-            if stop:
-                self.keep(w, self.known[word] + self.known[stop])
-
-    def keep(self, word: bytes, ids: bytes) -> None:
-        self.known[word] = ids
-        self.held += len(word) + len(ids) + WORD_COST
+            made = self.tokenizer.encode_batch_fast(list(map(bytes.decode, some)), add_special_tokens=False)
+            self.known.update(zip(some, [array("I", e.ids).tobytes() for e in made], strict=True))
+        self.held += sum(map(len, new)) * 3 + WORD_COST * len(new)  # about half a token a byte
 
     def forget(self) -> None:
         self.known, self.older, self.held = {}, {}, 0
