@@ -33,7 +33,7 @@ from bytemill.plans.scratch import stage
 CAPACITY = 2048
 END_ID = 0
 #: Bytes of words and their ids that a worker keeps, in two halves by age, and what a word costs beside.
-REMEMBERED, WORD_COST = 128 << 20, 160
+REMEMBERED, WORD_COST = 96 << 20, 160
 #: Texts and pieces that a worker holds as objects at a time, in bytes.
 HELD = 4 << 20
 BUCKET_ROWS = 100_000
@@ -59,7 +59,7 @@ class Encoder:
     @classmethod
     @cache
     def at(cls, path: str) -> Encoder:
-        """The worker's own; its words are forgotten at the end of every partition."""
+        """The worker's own, which serves all partitions that the worker gets."""
         return cls(path)
 
     def encode(self, text: bytes) -> bytes:
@@ -87,9 +87,6 @@ class Encoder:
             self.known.update(zip(some, [array("I", e.ids).tobytes() for e in made], strict=True))
         self.held += sum(map(len, new)) * 3 + WORD_COST * len(new)  # about half a token a byte
 
-    def forget(self) -> None:
-        self.known, self.older, self.held = {}, {}, 0
-
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece of at most ``capacity`` ids; with ``keep_ids`` the ids themselves too (binary)."""
@@ -115,7 +112,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
                     yield made(rows)
                     rows, held = [], 0
             yield made(rows)
-        encoder.forget()
 
     text = F.col("text").cast("string").cast("binary")
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(cut, SCHEMA + ", ids binary" * keep_ids)
