@@ -53,6 +53,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= SMALL * cores else df
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let a batch that goes to Python have ``rows`` whole texts, a few MB, where the session has Spark's own 10,000 rows.
+
+    A plan reads this when it runs, so it stays set for the session; a value of the user's own is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def put_on_path(spark: SparkSession) -> None:
     """Let Python workers started from here on import this package from its own folder."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
