@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytemill.llm import exact_dedup, langid, line_dedup, mixing, packing, pii, ppm, quality_rules, simhash, weak_quality
-from bytemill.plans.scratch import put_on_path, spread, stage
+from bytemill.plans.scratch import put_on_path, short_batches, spread, stage
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     put_on_path(spark)
+    short_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
