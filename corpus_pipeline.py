@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytemill.llm import exact_dedup, langid, mixing, packing, queries, simhash
-from bytemill.plans.scratch import forget, put_on_path, stage
+from bytemill.plans.scratch import forget, put_on_path, short_batches, stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat go or stay together; columns pass through under any name, score and lang_pred among them.
     """
     put_on_path(spark)
+    short_batches(spark)
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"), 3, 1)))
     packed = docs.select("text", F.struct("*").alias("_row"))
     return langid.predict(packed, model).filter("not rejected").select("_row.*")
@@ -32,6 +33,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts whose fingerprints are linked one row stays, the one of the smallest id; null ids come last."""
     put_on_path(spark)
+    short_batches(spark)
     return simhash.near_dedup(docs)
 
 
@@ -43,6 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each row: its length and its place in a sequence. A null text is the end id alone."""
     put_on_path(spark)
+    short_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer())
 
 
