@@ -141,9 +141,13 @@ class Hashed:
     """Numbers by 64-bit key: open addressing, all keys of an array looked up side by side."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.slots = np.zeros(1 << self.bits, np.uint64)  # key + 1, or 0
-        self.values = [np.zeros(1 << self.bits, np.float32) for _ in values]
+        self.size = max(16, 2 * len(keys))
+        self.slots = np.zeros(self.size, np.uint64)  # key + 1, or 0
+        self.values = [np.zeros(self.size, np.float32) for _ in values]
+        for lo in range(0, len(keys), BLOCK):  # a block at a time, as the places of all would take more than the slots
+            self._put(keys[lo : lo + BLOCK], [v[lo : lo + BLOCK] for v in values])
+
+    def _put(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
         todo, at = np.arange(len(keys)), self._at(keys)
         while len(todo):
             free = self.slots[at] == 0
@@ -154,10 +158,15 @@ class Hashed:
                 mine[at[put]] = v[todo[put]]
             rest = np.ones(len(todo), bool)
             rest[put] = False
-            todo, at = todo[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+            todo, at = todo[rest], self._next(at[rest])
 
     def _at(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(self.size) >> np.uint64(32)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        at = at + 1
+        at[at == self.size] = 0
+        return at
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's slot, -1 where it is not there."""
@@ -169,7 +178,7 @@ class Hashed:
         todo = np.flatnonzero(~hit & (seen != 0))
         at = at[todo]
         while len(todo):
-            at = (at + 1) & ((1 << self.bits) - 1)
+            at = self._next(at)
             seen = self.slots[at]
             hit = seen == wanted[todo]
             out[todo[hit]] = at[hit]
@@ -198,6 +207,14 @@ def chances(levels: list[np.ndarray], symbols: int) -> np.ndarray:
     return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
 
 
+def counts_by_length(keys: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Windows cut to each context length from DENSE on, in order, each from the longer one."""
+    found = {ORDER: summed(keys, n)}
+    for k in range(ORDER - 1, DENSE - 1, -1):
+        found[k] = summed(tails(found[k + 1][0], k), found[k + 1][1])
+    return found
+
+
 class Trie:
     """Chances of a symbol after ORDER bytes, from counted windows.
 
@@ -207,8 +224,20 @@ class Trie:
     """
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None, upper: dict | None = None):
-        levels = dict(upper) if upper else {k: summed(tails(keys, k), n) for k in range(DENSE, ORDER + 1)}
-        short = low or summed(tails(keys, DENSE - 1), n)
+        self._build(dict(upper) if upper else counts_by_length(keys, n), low or summed(tails(keys, DENSE - 1), n))
+
+    @classmethod
+    def taking(cls, levels: dict, short: tuple[np.ndarray, np.ndarray]) -> Trie:
+        """From counts by context length, which are used up: each goes as soon as its tables are there."""
+        out = cls.__new__(cls)
+        out._build(levels, short)
+        return out
+
+    def _build(self, levels: dict, short: tuple[np.ndarray, np.ndarray]) -> None:
+        self.sparse = []
+        for k in range(ORDER, DENSE, -1):
+            self.sparse.insert(0, self._level(k, levels[k], levels[k - 1]))
+            del levels[k]
         self.symbols = np.unique(short[0] & np.uint64(255)).astype(np.int64)
         a = len(self.symbols)
         self.code = np.full(256, a, np.uint8)
@@ -235,7 +264,6 @@ class Trie:
             base += len(contexts)
         self.slot, self.rows = slot.ravel(), np.concatenate(parts)
         self.third = Hashed(levels[DENSE][0])
-        self.sparse = [self._level(k, levels[k], levels[k - 1]) for k in range(DENSE + 1, ORDER + 1)]
 
     @staticmethod
     def _level(k: int, own: tuple[np.ndarray, np.ndarray], below: tuple[np.ndarray, np.ndarray]) -> tuple[Hashed, Hashed]:
@@ -332,7 +360,11 @@ class Shared:
     @property
     def trie(self) -> Trie:
         if self._trie is None:
-            self._trie = Trie(*self.parts)
+            keys, n, *rest = self.parts
+            self.parts = None  # the tables are larger than the counts, and both in every worker too much
+            low, levels = rest or (summed(tails(keys, DENSE - 1), n), counts_by_length(keys, n))
+            del keys, n, rest
+            self._trie = Trie.taking(levels, low)
         return self._trie
 
 
