@@ -16,6 +16,7 @@ text becomes as many pieces as it needs; other columns of the input are left beh
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -36,6 +37,8 @@ END_ID = 0
 REMEMBERED, WORD_COST = 128 << 20, 160
 #: Texts and pieces that a worker holds as objects at a time, in bytes.
 HELD = 4 << 20
+#: A word of lower-case ASCII letters and those of U+00C0 to U+00FF, and the ASCII signs behind it.
+PLAIN = re.compile(rb"(?=.{1,80}\Z)((?:[a-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*)").fullmatch
 BUCKET_ROWS = 100_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,10 +47,15 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, by way of its words.
 
     The vocabulary's rules never join what ASCII white space separates, so a text's ids are those of
-    its words in a row; the tokenizer normalises and encodes each distinct one. Its rules compose before they
+    its words in a row, and each distinct one is encoded once. The rules compose before they
     lower the case, and an ASCII letter only ever composes with U+0300 to U+0338, so in a text without these
     words that differ in the case of ASCII letters alone have the same ids and are learned once. A text that
     holds the start of a special token is encoded as a whole.
+
+    Most words are plain: letters of Latin-1, then ASCII signs or nothing. Nothing in them composes, and the rules
+    part them where the signs begin, so the ids are those of the letters, which the tokenizer's model gets
+    as the rules would spell them, and those of the signs, which are a word like any other. What else there
+    is, and what is long, is normalised, parted and encoded by the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,6 +63,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older, self.held = Tokenizer.from_file(path), {}, {}, 0
+        self.model, table = self.tokenizer.model, list(map(chr, range(256)))
+        for k in {*range(0x80, 0xC0)} - {0x97, 0xB7}:  # U+00D7 and U+00F7 are no letters
+            letter = self.tokenizer.normalizer.normalize_str(bytes([0xC3, k]).decode())
+            table[0xC3], table[k] = self.tokenizer.pre_tokenizer.pre_tokenize_str(letter)[0][0]
+        self.spelled = "".join(table)
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     @classmethod
     @cache
@@ -78,14 +92,33 @@ class Encoder:
         return b"".join(ids)
 
     def learn(self, new: set[bytes]) -> None:
-        again = {w: self.older[w] for w in new & self.older.keys()}
-        todo = list(new - again.keys())
-        self.known |= again
+        known, older = self.known, self.older
+        again = {w: older[w] for w in new & older.keys()}
+        known |= again
+        todo, all_signs = list(new - again.keys()), set()
         for lo in range(0, len(todo), 4096):
-            some = todo[lo : lo + 4096]
-            made = self.tokenizer.encode_batch_fast(list(map(bytes.decode, some)), add_special_tokens=False)
-            self.known.update(zip(some, [array("I", e.ids).tobytes() for e in made], strict=True))
-        self.held += sum(map(len, new)) * 3 + WORD_COST * len(new)  # about half a token a byte
+            plain, other = [], []
+            for w in todo[lo : lo + 4096]:
+                if m := PLAIN(w):
+                    plain.append((w, *m.groups()))
+                else:
+                    other.append(w)
+            signs = {tail for _, _, tail in plain if tail and tail not in known}
+            other += signs
+            all_signs |= signs
+            made = self.tokenizer.encode_batch_fast(list(map(bytes.decode, other)), add_special_tokens=False)
+            known.update(zip(other, [array("I", e.ids).tobytes() for e in made], strict=True))
+            for w, stem, tail in plain:
+                ids = known.get(stem) or older.get(stem) or self.ids_of(stem)
+                known[w] = ids + known[tail] if tail else ids
+        for words in (new, all_signs - new):
+            self.held += sum(map(len, words)) * 3 + WORD_COST * len(words)  # about half a token a byte
+
+    def ids_of(self, stem: bytes) -> bytes:
+        letters = stem.decode("latin-1")
+        if not letters.isascii():
+            letters = letters.translate(self.spelled)
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(letters)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

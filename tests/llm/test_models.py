@@ -72,6 +72,40 @@ def test_forgotten_words_are_learned_again(spark, monkeypatch):
         assert len(encoder.known) <= 3000 + len(t)
 
 
+class Counted:
+    """A tokenizer that counts the words it encodes."""
+
+    def __init__(self, tok):
+        self.tok, self.n = tok, 0
+
+    def encode_batch_fast(self, words, **k):
+        self.n += len(words)
+        return self.tok.encode_batch_fast(words, **k)
+
+    def __getattr__(self, name):
+        return getattr(self.tok, name)
+
+
+def test_plain_words_do_not_pass_all_rules(spark):
+    encoder, texts = packing.Encoder(PATH), [t for t in rows_of(spark).values() if t]
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    for t in texts:
+        encoder.encode(t.encode())
+    words = {w for t in texts for w in t.encode().lower().split()}
+    assert len(words) > 10_000 and encoder.tokenizer.n < len(words) // 10
+
+
+def test_ids_of_plain_words_and_those_beside_them():
+    tok, encoder, rng = Tokenizer.from_file(PATH), packing.Encoder(PATH), random.Random(1)
+    letters = [chr(k) for k in range(0xC0, 0x100)]
+    signs = [chr(k) for k in range(0x21, 0x7F) if not chr(k).isalnum()]
+    stems = letters + ["the", "été", "Straße", "ÀÉÎ", "a×b", "a÷", "it's", "l'été", "x7", "½", "e\u0301", "é\u0302", "a…", "»", "ø\u0338", "ǅ", "İ", "क़", "a\xad", "a\x01", "é" * 90, "w" * 90, "w" * 80, "w" * 79]
+    tails = [*signs, "", "…", "\u0338", "=\u0338", "...", "'s", "'.", "''s", "$%&", "!" * 90, "7", ".7", ",a", "»."]
+    words = [a + b for a in stems for b in tails] + ["".join(rng.choice(letters + signs + list("aehstHS7")) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    for text in [w for w in words if "<|" not in w] + [" ".join(words), "\u0301 ".join(words[:3000])]:
+        assert encoder.encode(text.encode()) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:99]
+
+
 def test_few_sequences(spark):
     n, least = check_packing(queries.op1_packing(spark, SF).collect())
     assert n <= least + max(1, least // 200)
